@@ -48,3 +48,10 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least as many partitions as there are cores. A table of a few small files is shuffled once (it is below
+    a file split a core); a table with enough splits is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
