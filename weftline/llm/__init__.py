@@ -2,4 +2,5 @@
 
 MODULES = [
     "weftline.llm.survivorship",
+    "weftline.llm.tokens",
 ]
