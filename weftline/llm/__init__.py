@@ -1,6 +1,7 @@
 """Operators of a training-data pipeline. Nothing outside this package imports it."""
 
 MODULES = [
+    "weftline.llm.leaks",
     "weftline.llm.pairs",
     "weftline.llm.survivorship",
     "weftline.llm.tokens",
