@@ -2,6 +2,7 @@
 
 MODULES = [
     "weftline.llm.leaks",
+    "weftline.llm.names",
     "weftline.llm.neighbours",
     "weftline.llm.pairs",
     "weftline.llm.survivorship",
