@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,12 @@ def spread(df: DataFrame) -> DataFrame:
     a file split a core); a table with enough splits is left as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a compressed table written in the shared checkpoint folder: for wide rows, which a
+    checkpoint would store uncompressed, and for rows that several later steps read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
