@@ -5,6 +5,7 @@ MODULES = [
     "weftline.llm.names",
     "weftline.llm.neighbours",
     "weftline.llm.pairs",
+    "weftline.llm.pii",
     "weftline.llm.survivorship",
     "weftline.llm.tokens",
 ]
