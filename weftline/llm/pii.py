@@ -51,7 +51,14 @@ DIGITS = "oh zero one two three four five six seven eight nine double triple nul
 
 WORD = re.compile(r"\p{L}[\p{L}\p{M}'’]*(?:[-‐]\p{L}[\p{L}\p{M}'’]*)*")
 EMAIL = re.compile(r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_][\p{L}\p{N}._%+\-]*(?:\s?[@＠]\s?|\s?(?:\(|\[|\{|<)(?i:at)(?:\)|\]|\}|>)\s?|\s(?i:at)\s|&#64;|%40)[\p{L}\p{N}][\p{L}\p{N}\-]*(?:(?:\.|\s?(?:\(|\[|\{)(?i:dot)(?:\)|\]|\})\s?|\s(?i:dot)\s)[\p{L}\p{N}][\p{L}\p{N}\-]*)+")
-NUMBER = re.compile(r"(?:\+|\(\+?)?(?:\p{L}{1,2}[ \-]?)?\p{Nd}(?:[\p{Nd} ()./\-–‑ ]{2,30})\p{Nd}(?:[ \-]?\p{L}\b)?(?:,?\s?(?:ext\.?|extension|x|Durchwahl|App\.|poste|anexo)\s?\p{Nd}{1,5})?|\b\p{L}{1,2}\p{Nd}{6,10}\p{L}?\b")
+NUMBER = re.compile(r"(?:\+|\(\+?)?\p{Nd}(?:[\p{Nd} ()./\-–‑\u00a0]{2,30})\p{Nd}(?:[ \-]?\p{L}\b)?(?:,?\s?(?:ext\.?|extension|x|Durchwahl|App\.|poste|anexo)\s?\p{Nd}{1,5})?")
+_HEAD = re.compile(r"(?<![\p{L}\p{Nd}])\p{L}{1,2}[ \-]?$")
+_EXT = re.compile(r",?\s?(?:ext\.?|extension|x|Durchwahl|App\.|poste|anexo)\s?\p{Nd}{1,5}$")
+_TAIL = re.compile(r"[ \-]?\p{L}$")
+_GROUP, _PLAIN, _DIGIT, _UPPER, _LOWERS = re.compile(r"\p{Nd}+"), re.compile(r"[\p{Nd}\p{L}]"), re.compile(r"\p{Nd}"), re.compile(r"\p{Lu}"), re.compile(r"\p{Ll}+")
+_AT = re.compile(r"[@＠]|[(\[{<](?i:at)[)\]}>]|&#64;|%40")
+_AT_WORD, _DOT_WORD = re.compile(r"\s(?i:at)\s"), re.compile(r"(?i)\sdot\s")
+_POSTCODE = re.compile(r"\p{N}{4,5}$|\p{N}{5}\s")
 SPELLED = re.compile(r"\b(?:(?:" + "|".join(DIGITS) + r")[ ,\-]+){5,}(?:" + "|".join(DIGITS) + r")\b", re.I)
 _W = r"\p{Lu}[\p{L}\p{M}'’\-]+"
 _TOWN = rf"{_W}(?:[ \-]{_W}){{0,2}}"
@@ -74,8 +81,7 @@ _FIRM, _TITLE, _PART = set(FIRM), set(TITLES), set(PARTICLES)
 
 
 def shape(s: str) -> str:
-    out = re.sub(r"\p{Nd}", "9", re.sub(r"\p{Lu}", "X", re.sub(r"\p{Ll}", "x", s)))
-    return re.sub(r"x+", "x", out)
+    return _LOWERS.sub("x", _UPPER.sub("X", _DIGIT.sub("9", s)))
 
 
 class Text:
@@ -129,16 +135,20 @@ class Text:
 
     def _emails(self) -> None:
         t = self.text
-        low = t.lower()
-        if "@" not in t and "＠" not in t and not re.search(r"(?i)[(\[{<]at[)\]}>]|\sat\s|&#64;|%40", t):
-            return
-        for m in EMAIL.finditer(t):
-            s = m.group()
-            marked = "@" in s or "＠" in s or bool(re.search(r"(?i)[(\[{<]at[)\]}>]|&#64;|%40", s))
-            if not marked and not re.search(r"(?i)\s(?:dot|AT)\s", s):
-                continue
-            self.add("EMAIL", m.start(), m.end(), ["marked" if marked else "words", "spaced" if " " in s else "whole", "dots" if re.search(r"(?i)dot", s) else "point"])
-        del low
+        signs = list(_AT.finditer(t))
+        if _DOT_WORD.search(t):
+            signs += list(_AT_WORD.finditer(t))
+        seen = set()
+        for sign in signs:
+            for m in EMAIL.finditer(t, max(0, sign.start() - 80), min(len(t), sign.end() + 160)):
+                if not m.start() <= sign.start() < m.end() or m.span() in seen:
+                    continue
+                seen.add(m.span())
+                s = m.group()
+                marked = bool(_AT.search(s))
+                if not marked and not _DOT_WORD.search(s):
+                    continue
+                self.add("EMAIL", m.start(), m.end(), ["marked" if marked else "words", "spaced" if " " in s else "whole", "dots" if "dot" in s.lower() else "point"])
 
     def _numbers(self) -> None:
         t = self.text
@@ -147,16 +157,14 @@ class Text:
         for m in NUMBER.finditer(t):
             a, b = m.span()
             s = m.group()
-            ends = {b}
-            head = re.match(r"\p{L}{1,2}[ \-]?", s)
-            starts = {a}
-            if head:
-                starts.add(a + head.end())
-            ext = re.search(r",?\s?(?:ext\.?|extension|x|Durchwahl|App\.|poste|anexo)\s?\p{Nd}{1,5}$", s)
-            if ext:
+            if sum(map(str.isdecimal, s)) < 6:
+                continue
+            ends, starts = {b}, {a}
+            if head := _HEAD.search(t, max(0, a - 3), a):
+                starts.add(head.start())
+            if ext := _EXT.search(s):
                 ends.add(a + ext.start())
-            tail = re.search(r"[ \-]?\p{L}$", s)
-            if tail:
+            if tail := _TAIL.search(s):
                 ends.add(a + tail.start())
             for x in starts:
                 for y in ends:
@@ -172,11 +180,11 @@ class Text:
         if n < 6 or n > 20:
             return
         sh = shape(s)
-        groups = [len(g) for g in re.findall(r"\p{Nd}+", s)]
-        seps = "".join(sorted({c for c in re.sub(r"[\p{Nd}\p{L}]", "", s)}))
+        parts = _GROUP.findall(s)
+        groups = [len(g) for g in parts]
+        seps = "".join(sorted(set(_PLAIN.sub("", s))))
         f = [f"shape={sh}", f"groups={groups[:6]}", f"n={n}", f"seps={seps}", f"first={s[0] if s[0] in '+(' else 'L' if s[0].isalpha() else '0' if s[0] in '0０' else 'd'}", "letters" if any(c.isalpha() for c in s) else "digits"]
-        year = [g for g in re.findall(r"\p{Nd}+", s) if len(g) == 4 and g[:2] in ("19", "20")]
-        if year:
+        if any(len(g) == 4 and g[:2] in ("19", "20") for g in parts):
             f.append("year")
         self.add("PHONE", a, b, f)
         self.add("ID_NUMBER", a, b, f)
@@ -196,7 +204,7 @@ class Text:
                     parts = sum(1 for g in range(2, pattern.groups + 1) if m.group(g) and m.end(g) <= b)
                     more = "more" if b < last else "all"
                     over = "lines" if "\n" in self.text[m.start() : b] else "line"
-                    code = "postcode" if re.search(r"\p{N}{4,5}$|\p{N}{5}\s", self.text[m.start(1) + 3 : b]) else "nocode"
+                    code = "postcode" if _POSTCODE.search(self.text[m.start(1) + 3 : b]) else "nocode"
                     self.add("ADDRESS", m.start(), b, [lang, f"parts={parts}", more, over, code, f"{lang}-{more}"])
 
     def _name(self, i: int, j: int, feats: list[str]) -> None:
