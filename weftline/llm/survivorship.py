@@ -72,6 +72,8 @@ def with_currency(records: DataFrame) -> DataFrame:
     deleted_at. Dated records keep their updated_at and have level 0. An undated one gets the level that the
     learned rules give it within its group and the time of the latest dated record of no higher level (null if
     there is none); among equal times the higher level is the later."""
+    if records.filter("updated_at is null").isEmpty():  # nothing to place; the file statistics mostly tell this
+        return records.withColumn("as_of", F.col("updated_at")).withColumn("level", F.lit(0))
     rows = records.withColumn("marks", F.array(*currency_values()))
     dated, undated = rows.filter("updated_at is not null"), rows.filter("updated_at is null")
     rules = learn_precedence(dated)
@@ -91,16 +93,23 @@ def with_currency(records: DataFrame) -> DataFrame:
 _COLUMNS = ["record_id", "entity_id", "name", "canonical_key", "description", "aliases", "confidence", "source_chunk_ids", "extractor", "updated_at", "deleted_at"]
 
 
-def survivors(records: DataFrame) -> DataFrame:
-    """entity_id, description_record, description, confidence_record, confidence, n_records for every entity with
-    two different record ids or more. A record repeated in all columns counts once. Null entity ids form no group."""
+def surviving_records(records: DataFrame) -> DataFrame:
+    """entity_id, description_record, confidence_record, confidence, n_rows for every entity with two different
+    record ids or more. Only numbers are gathered, no text. A record repeated in all columns counts once. Null
+    entity ids form no group."""
     rows = with_currency(pick(records, *_COLUMNS).filter("entity_id is not null"))
-    recent = [F.col("as_of"), F.col("level"), -F.col("record_id")]
     valid = F.col("confidence").isNotNull() & ~F.isnan("confidence") & F.col("confidence").between(0.0, 1.0)
-    told = F.struct(F.size(facts("description")).alias("n"), *[c.alias(f"r{i}") for i, c in enumerate(recent)], F.col("record_id").alias("id"), F.col("description").alias("text"))
-    sure = F.when(valid, F.struct(F.col("confidence").alias("n"), *[c.alias(f"r{i}") for i, c in enumerate(recent)], F.col("record_id").alias("id")))
+    rows = rows.select("entity_id", "record_id", "as_of", "level", F.size(facts("description")).alias("n_facts"), F.when(valid, F.col("confidence")).alias("sure"))
+    recent = [F.col("as_of").alias("r0"), F.col("level").alias("r1"), (-F.col("record_id")).alias("r2"), F.col("record_id").alias("id")]
+    told, sure = F.struct(F.col("n_facts").alias("n"), *recent), F.when(F.col("sure").isNotNull(), F.struct(F.col("sure").alias("n"), *recent))
     best = rows.groupBy("entity_id").agg(F.max(told).alias("d"), F.max(sure).alias("c"), F.min("record_id").alias("lo"), F.max("record_id").alias("hi"), F.count(F.lit(1)).alias("n_rows"))
-    return best.filter("lo < hi").select("entity_id", F.col("d.id").alias("description_record"), F.col("d.text").alias("description"), F.col("c.id").alias("confidence_record"), F.col("c.n").alias("confidence"), "n_rows")
+    return best.filter("lo < hi").select("entity_id", F.col("d.id").alias("description_record"), F.col("c.id").alias("confidence_record"), F.col("c.n").alias("confidence"), "n_rows")
+
+
+def survivors(records: DataFrame) -> DataFrame:
+    """surviving_records with the description itself."""
+    texts = pick(records, "entity_id", "record_id", "description").dropDuplicates(["entity_id", "record_id"]).withColumnRenamed("record_id", "description_record")
+    return surviving_records(records).join(texts, ["entity_id", "description_record"])
 
 
 def surviving_items(records: DataFrame) -> DataFrame:
@@ -119,7 +128,7 @@ def surviving_items(records: DataFrame) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, field_name, item."""
     records = table(spark, sf_dir, "extracted_entities")
-    best = survivors(records).select(
+    best = surviving_records(records).select(
         "entity_id",
         F.inline(F.array(F.struct(F.lit("description").alias("field_name"), F.col("description_record").cast("string").alias("item")), F.struct(F.lit("confidence").alias("field_name"), F.col("confidence_record").cast("string").alias("item")))),
     )
