@@ -20,18 +20,13 @@ import regex as re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.lexicon import GIVEN
 from weftline.session import pick, spread, table
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 #: Labelled lines that the weights are fitted on, and rounds over them.
 TRAIN_LINES, ROUNDS = 3000, 5
 
-# fixed values: given names
-GIVEN = """aiko niko vera rosalind ivo zelda hana ravi lachlan petra gideon maren katherine alexander jarrah caspian odette johannes samuel silas isabella dagny william wilhelmina juno
-dorothea jürgen benjamin josephine orson ingrid frederick yara arlo ursula henrietta quentin geneviève kiri leonard tobias íñigo tamsin abigail birgit émile bao bronte zachary susannah nadia linnea eleanor
-delia esme penelope yusuf gabriella hamish emrys anselm guadalupe fleur farid soraya elizabeth konstantin charlotte lawrence matthias magdalena philippa margaret rhea xiomara francisco celeste vito greta
-edward richard michael christopher zoë nathaniel thomas dimitri noémie robert victoria anthony malik wanda theodore james john mary anna maria david peter paul daniel laura sarah emma lucas julia martin
-andrea carlos juan josé luis carmen pedro pierre jean marie claire sophie hans klaus helga fritz giovanni marco lucia omar fatima ahmed wei yuki kenji olga ivan sergei anders lars astrid""".split()
 PARTICLES = "de del della di da la le el al van von der den bin ben ter ten dos du".split()
 TITLES = "mr mrs ms mx miss dr prof sir dame herr frau señor señora don doña monsieur madame mme".split()
 # fixed values: words that show a firm or a work after a name
