@@ -187,7 +187,7 @@ SQL = {
     "fil09_suspicious_ids": "select distinct record_id, source_entity_id from extracted_relations where not regexp_matches(source_entity_id, '^[0-9a-f]{16}$')",
     "fil10_url_category": f"with {_D} select case when source_uri like 's3:%' then regexp_extract(source_uri, '^s3://[^/]+/([^/]+)/', 1) when regexp_extract(source_uri, '^[a-z0-9]+://([^/.]+)', 1) <> '' then regexp_extract(source_uri, '^[a-z0-9]+://([^/.]+)', 1) else 'pages' end url_category, count(*) n from d group by 1",
     "fil11_contains": "select distinct entity_id, name from extracted_entities where contains(lower(name), 'choral')",
-    "fil12_row_errors": "select * from (select id, concat_ws(',', case when prompt is null or trim(prompt) = '' then 'prompt' end, case when reference is null or trim(reference) = '' then 'reference' end, case when reference_urls is null then 'urls' end, case when metadata.category is null then 'category' end) errors from (select distinct on (id) * from agent_eval_example)) where errors <> ''",
+    "fil12_row_errors": "select * from (select id, concat_ws(',', case when prompt is null or trim(prompt, ' ') = '' then 'prompt' end, case when reference is null or trim(reference, ' ') = '' then 'reference' end, case when reference_urls is null then 'urls' end, case when metadata.category is null then 'category' end) errors from (select distinct on (id) * from agent_eval_example)) where errors <> ''",
     "prj02_defaults": f"with {_D} select doc_id, coalesce(category, 'unknown') category, coalesce(lower(trim(lang)), 'unknown') lang, coalesce(source_type, 'crawler') source_type, coalesce(published_year, 1970) as year, coalesce(published_month, 1) as month from d",
     "prj03_safe_json": f"with {_D} select doc_id, try_cast(case when json_valid(metadata) then json_extract_string(metadata, '$.year') end as int) as year, try_cast(case when json_valid(metadata) then json_extract_string(metadata, '$.month') end as int) as month, metadata is null or not json_valid(metadata) bad from d",
     "prj04_citations": f"with {_CK} select chunk_id, citation_title title, citation_url url, substring(chunk_text, 1, 280) snippet from ck",
