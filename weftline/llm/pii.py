@@ -237,7 +237,7 @@ class Text:
             return len(x) > 2 and (x[0].isupper() or low and x.islower()) and fold(x) not in _TITLE
 
         for i, (_, _, x) in enumerate(w):
-            f = fold(x)
+            f = x.lower() if x.isascii() else fold(x)
             given = f in _GIVEN
             initial = len(x) == 1 and x.isupper() and gap(i)[:1] == "."
             if not given and not initial:
