@@ -68,3 +68,27 @@ def test_spans_cover_the_passage(spark):
     r = L.leaks(docs, spark.createDataFrame([(1, PASSAGE)], "item_id long, passage string")).first()
     assert [(s["begin"], s["end"]) for s in r["spans"]] == [(7, 7 + len(PASSAGE) - 1)]
     assert r["cover"] == pytest.approx(1.0)
+
+
+def test_scattered_changes_are_judged_by_letters_not_by_hits(spark):
+    whole = " ".join([PASSAGE, OTHER, PASSAGE[::-1]])
+    for every, share in ((16, 0.7), (18, 0.5), (20, 0.4)):
+        k, out = 0, []
+        for ch in whole[: int(len(whole) * share)]:
+            k += ch.isalnum()
+            out.append("0" if ch.isalnum() and k % every == 0 else ch)
+        assert found(spark, ["".join(out)], [(1, whole)]) == [(0, 1)]
+
+
+def test_equal_and_contained_passages_do_not_hide_each_other(spark):
+    part = " ".join(PASSAGE.split()[:14])
+    assert found(spark, [PASSAGE, OTHER], [(1, PASSAGE), (2, PASSAGE.upper()), (3, part), (4, OTHER)]) == [(0, 1), (0, 2), (0, 3), (1, 4)]
+
+
+def test_own_phrases_do_not_depend_on_blocks(spark, monkeypatch):
+    frame = "Read the following passage with care and choose the right answer from the list below it. "
+    items = [(i, frame + w) for i, w in enumerate(["Hagairtzeluk reached jukeboxes.", "Grileijur juggled the islets.", "Kalilnayak unsealed notaries.", "Preigrektobot ransomed ballots."])]
+    texts = [frame + "Nothing else.", items[2][1]]
+    assert found(spark, texts, items) == [(1, 2)]
+    monkeypatch.setattr(L, "PASSAGES_AT_ONCE", 60)
+    assert found(spark, texts, items) == [(1, 2)]

@@ -21,8 +21,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from weftline.session import pick, spread, table
+from weftline.session import cut_table, pick, spread, table
 
 #: Letters in a phrase; letters in a shard; sampling of suffix positions.
 SEED, SHARD, SAMPLE = 14, 2_000_000, 4
@@ -171,17 +173,20 @@ class FMIndex:
 
 
 class Phrases:
-    """The phrases of a block of passages: letters, item and offset of each; whether another passage has it too."""
+    """The phrases of a block of passages: letters, item and offset of each; whether it is the item's own. items: id,
+    passage and the offsets of the phrases that are not its own (see shared_phrases; none if left out)."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        rows, item, offset, self.ids, self.size = [], [], [], [], []
-        for item_id, passage in items:
+    def __init__(self, items: list[tuple]) -> None:
+        rows, item, offset, own, self.ids, self.size = [], [], [], [], [], []
+        for item_id, passage, *shared in items:
             s, _ = letters(passage or "")
             if len(s) < SEED:
                 continue
             rows.append(np.lib.stride_tricks.sliding_window_view(s, SEED))
             offset.append(np.arange(len(rows[-1])))
             item.append(np.full(len(rows[-1]), len(self.ids)))
+            own.append(np.ones(len(rows[-1]), bool))
+            own[-1][np.array(shared[0] if shared else [], np.int64)] = False
             self.ids.append(item_id)
             self.size.append(len(s))
         empty = np.zeros(0, np.int64)
@@ -190,10 +195,13 @@ class Phrases:
         self.patterns, self.of = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, empty)
         self.of = self.of.reshape(-1)
         order = np.argsort(self.of, kind="stable")
-        self.item, self.offset = item[order], offset[order]
+        self.item, self.offset, self.own = item[order], offset[order], (np.concatenate(own) if own else np.zeros(0, bool))[order]
         self.first = np.searchsorted(self.of[order], np.arange(len(self.patterns) + 1))
-        items_of = np.array([len(set(self.item[a:b].tolist())) for a, b in zip(self.first, self.first[1:])], np.int64)
-        self.own = items_of == 1
+
+
+def covered(o: np.ndarray) -> int:
+    """Letters covered by phrases at these offsets, which rise."""
+    return int(np.minimum(np.diff(o, append=o[-1] + SEED), SEED).sum()) if len(o) else 0
 
 
 def chain(places: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[int, int, np.ndarray]:
@@ -216,10 +224,6 @@ def chain(places: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[int
         path.append(order[k])
         k = before[k]
     path = np.array(path[::-1])
-
-    def covered(x: np.ndarray) -> int:
-        return int(np.minimum(np.diff(x, append=x[-1] + SEED) if len(x) else x, SEED).sum()) if len(x) else 0
-
     o = offsets[path]
     return covered(o), covered(o[own[path]]), places[path]
 
@@ -239,8 +243,8 @@ def shard_hits(docs: list[tuple[object, np.ndarray, np.ndarray, int]], phrases:
     place, pattern = index.locate(suffixes), np.repeat(rows, many)
     uses = phrases.first[pattern + 1] - phrases.first[pattern]
     use = np.repeat(phrases.first[pattern] - np.concatenate([[0], np.cumsum(uses)[:-1]]), uses) + np.arange(uses.sum())
-    place, own = np.repeat(place, uses), np.repeat(phrases.own[pattern], uses)
-    item, offset = phrases.item[use], phrases.offset[use]
+    place = np.repeat(place, uses)
+    item, offset, own = phrases.item[use], phrases.offset[use], phrases.own[use]
     doc = np.searchsorted(begins, place, side="right") - 1
     pair = doc * len(phrases.ids) + item
     order = np.argsort(pair, kind="stable")
@@ -250,8 +254,8 @@ def shard_hits(docs: list[tuple[object, np.ndarray, np.ndarray, int]], phrases:
     out = []
     for a, b in zip(edges, edges[1:]):
         i, d = int(item[a]), int(doc[a])
-        if (b - a) < 0.5 * (COVER * size[i] - SEED) or len(np.unique(offset[a:b])) + SEED < 0.5 * COVER * size[i]:
-            continue  # too few phrases for half the cover that counts, even in the best order
+        if (b - a) * SEED / size[i] < COVER or covered(np.unique(offset[a:b])) / size[i] < COVER:
+            continue  # all hits together, in any order, cover less than counts
         cover, alone, path = chain(place[a:b], offset[a:b], own[a:b])
         at = docs[d][2][path - begins[d]]
         ends = docs[d][2][path - begins[d] + SEED - 1] + 1
@@ -265,6 +269,32 @@ def shard_hits(docs: list[tuple[object, np.ndarray, np.ndarray, int]], phrases:
     return out
 
 
+@pandas_udf(T.StringType())
+def letter_text(passages: pd.Series) -> pd.Series:
+    return passages.map(lambda p: (letters(p)[0] + 47).tobytes().decode("ascii"))
+
+
+def shared_phrases(items: DataFrame) -> DataFrame:
+    """item_id, passage, shared: the offsets of the phrases that an unrelated passage has too, counted over all items.
+    Equal passages are one; a passage is related to those that it holds and to those that hold it."""
+    said = items.withColumn("said", letter_text("passage")).withColumn("kind", F.md5(F.col("said").cast("binary")))
+    kinds = said.filter(F.length("said") >= SEED).select("kind", "said").distinct()
+    uses = kinds.select("kind", F.explode(F.transform(F.sequence(F.lit(0), F.length("said") - SEED), lambda o: F.struct(o.alias("offset"), F.substring("said", o + 1, F.lit(SEED)).alias("phrase")))).alias("x")).select("kind", "x.*")
+    once = uses.select("kind", "phrase").distinct()
+    counted = once.join(once.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")), "phrase")
+    # what holds a passage has its rarest phrase too
+    rarest = counted.groupBy("kind").agg(F.min(F.struct("n", "phrase")).alias("r")).filter("r.n > 1").select(F.col("kind").alias("inner"), "r.phrase")
+    side = lambda n: kinds.select(F.col("kind").alias(n), F.col("said").alias(f"said_{n}"))
+    near = rarest.join(once.withColumnRenamed("kind", "outer"), "phrase").filter(F.col("inner") != F.col("outer")).select("inner", "outer")
+    inside = near.join(side("inner"), "inner").join(side("outer"), "outer").filter(F.col("said_outer").contains(F.col("said_inner"))).select("inner", "outer")
+    holders = inside.groupBy(F.col("inner").alias("kind")).agg(F.count(F.lit(1)).alias("n_out"))
+    held = inside.join(once.withColumnRenamed("kind", "inner"), "inner").groupBy(F.col("outer").alias("kind"), "phrase").agg(F.count(F.lit(1)).alias("n_in"))
+    related = F.lit(1) + F.coalesce("n_out", F.lit(0)) + F.coalesce("n_in", F.lit(0))
+    foreign = counted.filter("n > 1").join(holders, "kind", "left").join(held, ["kind", "phrase"], "left").filter(F.col("n") > related).select("kind", "phrase")
+    shared = uses.join(foreign, ["kind", "phrase"], "left_semi").groupBy("kind").agg(F.collect_list("offset").alias("shared"))
+    return said.join(shared, "kind", "left").select("item_id", "passage", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
+
+
 def passage_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, item_id, cover and own (shares of the passage), spans (begin, end in characters of the text).
 
@@ -275,13 +305,14 @@ def passage_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     items = pick(items, "item_id", "passage").filter("passage is not null").distinct()
     n_letters, longest = items.agg(F.sum(F.length("passage")), F.max(F.length("passage"))).first()
     blocks = max(1, -(-int(n_letters or 0) // PASSAGES_AT_ONCE))
+    items = cut_table(shared_phrases(items))
     docs = spread(pick(docs, id_col, text_col).filter(F.col(text_col).isNotNull()))
     overlap = 3 * int(longest or 0)
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, cover double, own double, spans array<struct<begin:int,end:int>>"
     parts = []
     for k in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        phrases = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["passage"]) for r in block.collect()]))
+        phrases = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["passage"], r["shared"]) for r in block.collect()]))
 
         def run(batches: Iterator[pd.DataFrame], phrases=phrases) -> Iterator[pd.DataFrame]:
             held: list[tuple] = []
