@@ -60,3 +60,23 @@ def test_repeats_nulls_very_long_and_empty(spark):
 @pytest.mark.parametrize("text,lang", [("Wie melde ich das Werk bei dem Verband an und wer vergibt es?", "de"), ("T-1", None), ("", None)])
 def test_language(spark, text, lang):
     assert spark.createDataFrame([(text,)], "t string").select(P.language_of(P.hits(P.plain_words(F.col("t"))))).first()[0] == lang
+
+
+def test_late_refusals_and_late_decoys(spark):
+    polite = "Hello and thank you for your message. You asked who pursues unlicensed shows. I understand that this is important. I am very sorry. "
+    told = "The panel may add 23 percent to the unpaid amount. The file then goes to the board in Zephira. A second hearing follows within two months. "
+    rows = [
+        ("who pursues unlicensed shows", polite + "I cannot answer this question."), ("who pursues unlicensed shows", polite + "My sources contain nothing I could base a reply on."),
+        ("who pursues unlicensed shows", told + "The society is unable to refund fees."), ("who pursues unlicensed shows", told + 'The portal then shows "Sorry, I cannot answer this question".'), ("who pursues unlicensed shows", polite + 'The portal shows "I cannot answer this question" to all.'),
+    ]
+    assert found(spark, rows) == {0: "refusal", 1: "refusal"}
+
+
+def test_long_and_repeated_copies(spark):
+    rnd = random.Random(4)
+    long = [rnd.choice(["fee", "room", "size", "panel", "board", "file", "work", "desk"]) + str(rnd.randint(0, 999)) for _ in range(9000)]
+    changed = [w if i % 3000 else "other" for i, w in enumerate(long)]
+    short = "who pursues unlicensed shows in the town of Corandia"
+    other = [w + "x" if i % 3 == 0 else w for i, w in enumerate(long)]
+    rows = [(" ".join(long), " ".join(changed) + "."), *((short, ". ".join([short] * n) + ".") for n in (3, 6, 40)), (" ".join(long), " ".join(other) + ".")]
+    assert found(spark, rows) == {0: "copy", 1: "copy", 2: "copy", 3: "copy"}

@@ -49,8 +49,15 @@ REFUSALS = [
 ]
 #: Share of a template's words that must occur in order in one sentence of the answer.
 REFUSAL_SHARE = 0.8
-#: Longest sides in words for which the subsequence is computed; beyond it the shingles alone decide.
-LCS_WORDS = 5000
+
+# fixed values: words of greetings, thanks, apologies and of giving a question back
+COURTESY = set(
+    "hello hi dear good morning afternoon evening greetings welcome thank thanks please sorry apologies apologise apologize regret afraid unfortunately inconvenience reaching out writing contacting getting touch question questions asked asking ask request message today really truly very much appreciate understand know see hope well important matter matters wish wanted want would like about regarding us we our happy glad great patience interest "
+    "bonjour bonsoir merci beaucoup désolé désolée excuses pardon malheureusement regrette demande demandé question message comprends sais nous notre votre vos je suis j ai c important intérêt hallo guten tag morgen abend danke vielen dank leider entschuldigung entschuldigen bedaure tut leid frage fragen gefragt anfrage nachricht verstehe weiß ich uns unsere wichtig interesse "
+    "hola buenos buenas días tardes noches gracias muchas siento lamento disculpe perdón desafortunadamente lamentablemente pregunta preguntas preguntado consulta mensaje entiendo comprendo nos nuestro importante interés".split()
+)
+#: From so many words on that are neither of the prompt nor courtesy nor function words a sentence tells something.
+TELLS = 4
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
@@ -60,7 +67,18 @@ def words(text: str) -> list[str]:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one machine word of `a` at a time."""
+    """Length of the longest common subsequence, one machine word of `a` at a time, after what both begin and end with."""
+    same, n = 0, min(len(a), len(b))
+    while same < n and a[same] == b[same]:
+        same += 1
+    a, b, n = a[same:], b[same:], n - same
+    tail = 0
+    while tail < n and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    return same + tail + _lcs(a[: len(a) - tail], b[: len(b) - tail])
+
+
+def _lcs(a: list[str], b: list[str]) -> int:
     at: dict[str, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
@@ -77,32 +95,49 @@ def template_words(template: str) -> list[str]:
 
 
 _TEMPLATES = [(t, template_words(t), set(template_words(t))) for t in REFUSALS]
-#: A refusal opens the answer: it is looked for in so many sentences.
+#: A refusal among so many first sentences counts in any case; a later one if no sentence before it tells something.
 OPENING = 3
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+_QUOTED = re.compile(r"[\"“„«][^\"“”„«»]*[\"”“»]")
+_FUNCTION = {w for v in FUNCTION_WORDS.values() for w in v.split()}
+
+
+def template_share(part: str) -> float:
+    """The largest share of a template that a sentence holds in order, without many other words (up to twice the
+    template's own, any number where the template has a *)."""
+    best, tokens = 0.0, words(part)
+    seen = set(tokens)
+    for raw, t, kinds in _TEMPLATES:
+        if "*" not in raw and len(tokens) > 2 * len(t) + 10 or len(kinds & seen) < 0.7 * len(kinds):
+            continue
+        common = lcs(t, tokens)
+        if common >= min(3, len(t)) and common / len(t) > best:
+            best = common / len(t)
+    return best
 
 
-def refusal_score(answer: str) -> float:
-    """The largest share of a template that one of the opening sentences holds in order, without many other words
-    (up to twice the template's own, any number where the template has a *)."""
+def refusal_score(answer: str, prompt: str = "") -> float:
+    """The largest share of a template that a sentence of the answer holds. After the opening, sentences count only
+    while none before them tells something of its own, and what they quote does not count."""
     best = 0.0
-    parts = [p for p in _SENTENCE.split(answer) if p.strip()][: 2 * OPENING]
-    joined = parts[:OPENING] + [f"{a} {b}" for a, b in zip(parts[:OPENING], parts[1:]) if re.search(r"\bNo\.$|\d\.$", a)]
-    for part in joined:
-        tokens = words(part)
-        seen = set(tokens)
-        for raw, t, kinds in _TEMPLATES:
-            if "*" not in raw and len(tokens) > 2 * len(t) + 10 or len(kinds & seen) < 0.7 * len(kinds):
-                continue
-            common = lcs(t, tokens)
-            if common >= min(3, len(t)) and common / len(t) > best:
-                best = common / len(t)
+    parts = [p for p in _SENTENCE.split(answer) if p.strip()]
+    given = {part for w in words(prompt) for part in (w, *w.split("'"))} | COURTESY | _FUNCTION
+    told = False
+    for k, part in enumerate(parts):
+        if k >= OPENING and told:
+            break
+        late = k >= OPENING
+        says = [_QUOTED.sub(" ", part) if late else part]
+        if k + 1 < len(parts) and re.search(r"\bNo\.$|\d\.$", part):
+            says.append(_QUOTED.sub(" ", f"{part} {parts[k + 1]}") if late else f"{part} {parts[k + 1]}")
+        best = max(best, *map(template_share, says))
+        told = told or sum(not given.issuperset(w.split("'")) for w in set(words(part))) >= TELLS
     return best
 
 
 @pandas_udf(T.DoubleType())
-def refusal_share(answers: pd.Series) -> pd.Series:
-    return answers.map(lambda a: refusal_score(a) if isinstance(a, str) else 0.0).astype("float64")
+def refusal_share(answers: pd.Series, prompts: pd.Series) -> pd.Series:
+    return pd.Series([refusal_score(a, p if isinstance(p, str) else "") if isinstance(a, str) else 0.0 for a, p in zip(answers, prompts)], dtype="float64")
 
 
 @pandas_udf(T.DoubleType())
@@ -115,11 +150,9 @@ def left_over(prompts: pd.Series, answers: pd.Series) -> pd.Series:
         x, y = words(p), words(a)
         if not x or not y:
             return 1.0
-        if max(len(x), len(y)) > LCS_WORDS:
-            return 0.0 if x == y else 1.0
         if lcs(x, y) < 0.75 * len(x):
             return 1.0
-        times = min(4, -(-len(y) // len(x)))  # the prompt may be given back several times
+        times = -(-len(y) // len(x))  # the prompt may be given back several times
         return (len(y) - lcs(x * times, y)) / len(y)
 
     return pd.Series([one(p, a) for p, a in zip(prompts, answers)], dtype="float64")
@@ -191,7 +224,7 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
     rows = rows.withColumn("shared", containment(shingles(F.col("pw")), shingles(F.col("aw"))))
     maybe_copy = ~F.col("empty") & (F.size("pw") > 0) & ((F.col("shared") >= 0.5) | (F.concat_ws(" ", "pw") == F.concat_ws(" ", "aw")))
     maybe_refusal = ~F.col("empty") & a.rlike(CUES)
-    rows = rows.withColumn("rest", left_over(F.when(maybe_copy, p), F.when(maybe_copy, a))).withColumn("refused", refusal_share(F.when(maybe_refusal, a)))
+    rows = rows.withColumn("rest", left_over(F.when(maybe_copy, p), F.when(maybe_copy, a))).withColumn("refused", refusal_share(F.when(maybe_refusal, a), F.when(maybe_refusal, p)))
     rows = rows.withColumn("p_plain", plain_words(p)).withColumn("a_plain", plain_words(a)).withColumn("p_hits", hits(F.col("p_plain"))).withColumn("a_hits", hits(F.col("a_plain"))).withColumn("p_lang", language_of(F.col("p_hits"))).withColumn("a_lang", language_of(F.col("a_hits"), 3)).withColumn("cut_off", is_truncated(a))
     asked = F.coalesce(*[F.when((F.col("a_lang") == k) & F.lower(p).rlike(r"(?<!\p{L})(?:" + v + r")(?!\p{L})"), F.lit(True)) for k, v in LANGUAGE_NAMES.items()], F.lit(False))
     copied = F.concat_ws(" ", "pw") == F.concat_ws(" ", "aw")
