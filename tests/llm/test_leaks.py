@@ -92,3 +92,19 @@ def test_own_phrases_do_not_depend_on_blocks(spark, monkeypatch):
     assert found(spark, texts, items) == [(1, 2)]
     monkeypatch.setattr(L, "PASSAGES_AT_ONCE", 60)
     assert found(spark, texts, items) == [(1, 2)]
+
+
+def test_a_passage_that_stands_twice_is_removed_twice(spark):
+    text = f"{PASSAGE} and in between much else was said about nothing. {PASSAGE}"
+    docs, items = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, PASSAGE), (2, PASSAGE), (3, "tiny")], "item_id long, passage string")
+    rows = {r["item_id"]: [(s["begin"], s["end"]) for s in r["spans"]] for r in L.leaks(docs, items).collect()}
+    n = len(PASSAGE) - 1  # without the full stop
+    assert rows == {i: [(0, n), (len(text) - n - 1, len(text) - 1)] for i in (1, 2)}
+    r = L.removal_spans(docs, items).first()
+    assert r["n_items"] == 2 and sum(s["end"] - s["begin"] for s in r["spans"]) == 2 * n
+    assert {r["item_id"]: r["short"] for r in L.short_items(items).collect()} == {1: False, 2: False, 3: True}
+
+
+def test_blocks_share_one_index(spark, monkeypatch):
+    monkeypatch.setattr(L, "PASSAGES_AT_ONCE", 60)
+    assert found(spark, [PASSAGE, OTHER, None], [(1, PASSAGE), (2, OTHER), (3, None)]) == [(0, 1), (1, 2)]

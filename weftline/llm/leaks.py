@@ -4,7 +4,8 @@ Each task cuts its texts into shards of bounded size and builds an FM-index of e
 Wheeler transform in a wavelet matrix with popcount blocks, and every SAMPLE-th suffix position. The phrases of all
 passages (every run of SEED letters or digits) are searched backward together, one letter at a time, through the
 ranks of the wavelet matrix; what remains is located by stepping to the next sampled suffix. The hits of an item in
-a text are chained in order, the chained length decides, and the hits merge into the spans to remove.
+a text are chained in order, the longest chain decides, further ones show where the passage stands again, and the
+hits merge into the spans to remove.
 
 Letters are compared in lower case without accents, spaces, punctuation, markup or invisible characters, so that
 another layout, hyphenation or typeface changes nothing. The texts are never shuffled; only the phrases travel."""
@@ -19,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -30,7 +31,7 @@ from weftline.session import cut_table, pick, spread, table
 SEED, SHARD, SAMPLE = 14, 2_000_000, 4
 #: A leak holds so much of the passage in order, and so much of it in phrases that no other passage has.
 COVER, OWN = 0.28, 0.14
-#: Letters of passages that are searched in one pass over the corpus; more items take further passes.
+#: Letters of passages whose phrases a task holds at once; more items are searched block by block in the same index.
 PASSAGES_AT_ONCE = 4_000_000
 BASE = 38  # end of text, separator, 26 letters, 10 digits
 # fixed values: letters of other scripts that look like Latin ones
@@ -228,13 +229,30 @@ def chain(places: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[int
     return covered(o), covered(o[own[path]]), places[path]
 
 
-def shard_hits(docs: list[tuple[object, np.ndarray, np.ndarray, int]], phrases: Phrases) -> list[tuple]:
-    """docs: key, symbols, places, number of the piece. One row a text and item: key, item_id, cover, own, spans."""
+def chains(places: np.ndarray, offsets: np.ndarray, own: np.ndarray, least: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The longest chain, then those that its hits leave over, while they cover `least` letters."""
+    while covered(np.unique(offsets)) >= least:
+        cover, alone, path = chain(places, offsets, own)
+        yield cover, alone, path
+        after = np.searchsorted(path, places)  # hits that share letters with a hit of the chain are done
+        near = np.minimum(np.abs(places - path[np.maximum(after - 1, 0)]), np.abs(path[np.minimum(after, len(path) - 1)] - places))
+        left = near >= SEED
+        places, offsets, own = places[left], offsets[left], own[left]
+
+
+def shard_index(docs: list[tuple[object, np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, FMIndex]:
+    """Where each text begins, and the index of all of them."""
     begins = np.cumsum([0] + [len(d[1]) + 1 for d in docs])
     s = np.zeros(begins[-1], np.uint8)
     for b, d in zip(begins, docs):
         s[b : b + len(d[1])] = d[1]
-    index = FMIndex(s)
+    return begins, FMIndex(s)
+
+
+def shard_hits(docs: list[tuple[object, np.ndarray, np.ndarray, int]], phrases: Phrases, indexed: tuple[np.ndarray, FMIndex] | None = None) -> list[tuple]:
+    """docs: key, symbols, places, number of the piece. One row a text and item: key, item_id, cover and own of the
+    longest chain, spans of all chains that count."""
+    begins, index = indexed or shard_index(docs)
     rows, lo, hi = index.search(phrases.patterns)
     if not len(rows):
         return []
@@ -254,18 +272,23 @@ def shard_hits(docs: list[tuple[object, np.ndarray, np.ndarray, int]], phrases:
     out = []
     for a, b in zip(edges, edges[1:]):
         i, d = int(item[a]), int(doc[a])
-        if (b - a) * SEED / size[i] < COVER or covered(np.unique(offset[a:b])) / size[i] < COVER:
-            continue  # all hits together, in any order, cover less than counts
-        cover, alone, path = chain(place[a:b], offset[a:b], own[a:b])
-        at = docs[d][2][path - begins[d]]
-        ends = docs[d][2][path - begins[d] + SEED - 1] + 1
-        spans: list[list[int]] = []
-        for x, y in zip(at.tolist(), ends.tolist()):
-            if spans and x <= spans[-1][1] + 40:
-                spans[-1][1] = max(spans[-1][1], y)
-            else:
-                spans.append([x, y])
-        out.append((docs[d][0], phrases.ids[i], cover / size[i], alone / size[i], [{"begin": x, "end": y} for x, y in spans]))
+        if (b - a) * SEED / size[i] < COVER:
+            continue  # all hits together cover less than counts
+        longest, spans = None, []
+        for cover, alone, path in chains(place[a:b], offset[a:b], own[a:b], COVER * size[i]):
+            longest = longest or (cover / size[i], alone / size[i])
+            if cover / size[i] < COVER or alone / size[i] < OWN:
+                continue
+            at = docs[d][2][path - begins[d]].tolist()
+            ends = (docs[d][2][path - begins[d] + SEED - 1] + 1).tolist()
+            spans.append([at[0], ends[0]])
+            for x, y in zip(at, ends):
+                if x <= spans[-1][1] + 40:
+                    spans[-1][1] = max(spans[-1][1], y)
+                else:
+                    spans.append([x, y])
+        if longest:
+            out.append((docs[d][0], phrases.ids[i], *longest, [{"begin": x, "end": y} for x, y in sorted(spans)]))
     return out
 
 
@@ -295,59 +318,83 @@ def shared_phrases(items: DataFrame) -> DataFrame:
     return said.join(shared, "kind", "left").select("item_id", "passage", F.coalesce("shared", F.array().cast("array<int>")).alias("shared"))
 
 
+@lru_cache(1)
+def phrases_of(block: tuple) -> Phrases:
+    return Phrases(list(block))
+
+
 def passage_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, item_id, cover and own (shares of the passage), spans (begin, end in characters of the text).
 
-    items: item_id, passage; a few at a time are held by every task (PASSAGES_AT_ONCE letters, counted first).
-    Null, empty and short texts and passages have no hits. A longer text than a shard is read in pieces that
+    items: item_id, passage; the passages go to every task in blocks of PASSAGES_AT_ONCE letters, collected one block
+    at a time, and a task makes the phrases of one block at a time. The corpus is read and indexed once.
+    Null, empty and short texts and passages have no hits (see short_items). A longer text than a shard is read in pieces that
     overlap by more than two passages, so no part of it is left out."""
     spark = docs.sparkSession
     items = pick(items, "item_id", "passage").filter("passage is not null").distinct()
     n_letters, longest = items.agg(F.sum(F.length("passage")), F.max(F.length("passage"))).first()
     blocks = max(1, -(-int(n_letters or 0) // PASSAGES_AT_ONCE))
-    items = cut_table(shared_phrases(items))
+    items = cut_table(shared_phrases(items).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")))
     docs = spread(pick(docs, id_col, text_col).filter(F.col(text_col).isNotNull()))
     overlap = 3 * int(longest or 0)
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, cover double, own double, spans array<struct<begin:int,end:int>>"
-    parts = []
-    for k in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        phrases = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["passage"], r["shared"]) for r in block.collect()]))
-
-        def run(batches: Iterator[pd.DataFrame], phrases=phrases) -> Iterator[pd.DataFrame]:
-            held: list[tuple] = []
-            n = 0
-
-            def flush() -> pd.DataFrame:
-                return pd.DataFrame(shard_hits(held, phrases.value), columns=[id_col, "item_id", "cover", "own", "spans"])
-
-            for batch in batches:
-                for key, text in zip(batch[id_col], batch[text_col]):
-                    s, at = letters(text)
-                    for begin in range(0, max(1, len(s)), SHARD):
-                        piece = slice(max(0, begin - overlap), begin + SHARD)
-                        if len(s[piece]) < SEED:
-                            continue
-                        held.append((key, s[piece], at[piece], begin))
-                        n += len(s[piece])
-                        if n >= SHARD:
-                            yield flush()
-                            held, n = [], 0
-            if held:
-                yield flush()
-
-        if len(phrases.value.ids) or k == 0:
-            parts.append(docs.mapInPandas(run, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    shared = [spark.sparkContext.broadcast(tuple((r["item_id"], r["passage"], tuple(r["shared"])) for r in items.filter(F.col("block") == k).collect())) for k in range(blocks)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        n = 0
+
+        def flush() -> pd.DataFrame:
+            indexed = shard_index(held)
+            return pd.DataFrame([h for b in shared for h in shard_hits(held, phrases_of(b.value), indexed)], columns=[id_col, "item_id", "cover", "own", "spans"])
+
+        for batch in batches:
+            for key, text in zip(batch[id_col], batch[text_col]):
+                s, at = letters(text)
+                for begin in range(0, max(1, len(s)), SHARD):
+                    piece = slice(max(0, begin - overlap), begin + SHARD)
+                    if len(s[piece]) < SEED:
+                        continue
+                    held.append((key, s[piece], at[piece], begin))
+                    n += len(s[piece])
+                    if n >= SHARD:
+                        yield flush()
+                        held, n = [], 0
+        if held:
+            yield flush()
+
+    return docs.mapInPandas(run, schema)
+
+
+def merge_spans(spans: Column) -> Column:
+    """Spans in order, those that overlap or touch put together; an empty array for none."""
+    grow = lambda done, x: F.when(
+        (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["begin"]),
+        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["begin"].alias("begin"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))),
+    ).otherwise(F.concat(done, F.array(x)))
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<begin:int,end:int>>"), grow)
+
+
+def letters_in(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0), lambda a, x: a + x["end"] - x["begin"])
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, cover, own, spans of texts that hold a passage, wholly or in part; one row a pair."""
+    """doc_id, item_id, cover, own, spans of texts that hold a passage, wholly or in part; one row a pair, the spans of
+    every place where it stands, merged over the pieces of a text."""
     hits = passage_hits(docs, items).filter((F.col("cover") >= COVER) & (F.col("own") >= OWN))
-    return hits.groupBy("doc_id", "item_id").agg(F.max("cover").alias("cover"), F.max("own").alias("own"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    return hits.groupBy("doc_id", "item_id").agg(F.max("cover").alias("cover"), F.max("own").alias("own"), merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def removal_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, n_items, spans: what to remove from each text, merged over all items."""
+    return leaks(docs, items).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def short_items(items: DataFrame) -> DataFrame:
+    """item_id, short: whether the passage is null or below SEED letters, that is within a phrase that never counts."""
+    said = pick(items, "item_id", "passage").select("item_id", F.length(letter_text(F.coalesce("passage", F.lit("")))).alias("n"))
+    return said.groupBy("item_id").agg((F.max("n") < SEED).alias("short"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,10 +403,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaked items with the number of texts and of characters to remove."""
-    rows = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return rows.select("item_id", "doc_id", F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["begin"]).alias("n")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chars"))
+    """Every item with the number of texts that hold it and of characters to remove, and whether it is too short to be
+    searched."""
+    items = table(spark, sf_dir, "eval_items")
+    rows = leaks(table(spark, sf_dir, "documents"), items).select("item_id", letters_in(F.col("spans")).alias("n")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chars"))
+    return short_items(items).join(rows, "item_id", "left").select("item_id", "short", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
+def p7_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_items, n_chars: characters to remove from each text, counted once where items overlap."""
+    return removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "n_items", letters_in(F.col("spans")).alias("n_chars"))
 
 
 SQL: dict[str, str] = {}
-QUERIES = {"p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p7_found": p7_found, "p7_report": p7_report, "p7_removal": p7_removal}
