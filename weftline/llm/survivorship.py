@@ -2,17 +2,22 @@
 
 The survivor is built field by field: the description that states most facts, the best valid confidence, and the
 union of true aliases and chunk ids. Equal values are settled by the latest record. Where a record has no
-timestamp its place in time is inferred: from the groups whose records do have one we learn which value of an
-attribute comes before which (currency rules), each group gets the partial order that these rules give its own
-records, and an undated record counts as late as the latest dated record that does not follow it.
+timestamp its place in time is inferred by currency rules: from the groups whose records have timestamps we learn which
+value of an attribute comes before which (votes of all pairs of values, cycles broken at their weakest vote, closed over
+chains). A record precedes another of its group if every attribute's value precedes or equals the other's and one
+precedes: a partial order. An undated record counts as late as the latest dated record that does not follow it, and
+among those of one time the topologically later one wins.
 
-Every step is an aggregate by group that is gathered on the map side first, so a group may hold any part of the rows."""
+Records with equal values of all attributes share a place, so a group is gathered as its few different combinations;
+every step before that is an aggregate that starts on the map side, so a group may hold any part of the rows."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.skew import heavy_split_join
 from weftline.session import SPACE, pick, strip, table
 
 # fixed values: what stands in for a missing value
@@ -55,39 +60,65 @@ def currency_values() -> list[Column]:
     return [pair("extractor", F.col("extractor")), pair("key_form", form), pair("deleted", F.col("deleted_at").isNotNull())]
 
 
+def break_cycles(votes: pd.DataFrame) -> pd.DataFrame:
+    """votes: attr, a, b, score (groups in which a came first less those in which b did), one attribute. Result: attr, a,
+    b: the pairs of an order without cycles, closed over chains. Pairs enter by falling score, and one that would close a
+    cycle with those before it is left out; equal scores enter by name."""
+    after: dict[str, set[str]] = {}
+    order = sorted(zip(-votes["score"], votes["a"], votes["b"]))
+    for _, a, b in order:
+        if a == b or a in after.get(b, ()):
+            continue
+        later = {b} | after.get(b, set())
+        for v in [a, *(v for v, ws in after.items() if a in ws)]:
+            after.setdefault(v, set()).update(later)
+    rows = sorted((a, b) for a, bs in after.items() for b in bs)
+    return pd.DataFrame({"attr": [votes["attr"].iloc[0]] * len(rows), "a": [r[0] for r in rows], "b": [r[1] for r in rows]})
+
+
 def learn_precedence(dated: DataFrame) -> DataFrame:
-    """dated: entity_id, updated_at, marks (array of attr, value). Result: attr, value, level: the number of values
-    that come before this one. A value comes before another if, in the groups that have both, it is seen first
-    more often. Ties and groups with one value teach nothing; without any dated group the result is empty."""
+    """dated: entity_id, updated_at, marks (array of attr, value). Result: attr, a, b: value a comes before value b. In
+    each group every pair of values of an attribute has a vote for the one that is seen first; a majority makes a rule.
+    Ties and groups with one value teach nothing; without any dated group the result is empty. The values of an
+    attribute are few, so the votes are a small table whatever the number of records."""
     first = dated.select("entity_id", "updated_at", F.inline("marks")).groupBy("entity_id", "attr", "value").agg(F.min("updated_at").alias("at"))
-    seen = first.groupBy("entity_id", "attr").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("seq")).filter(F.size("seq") > 1)
-    steps = F.transform(F.sequence(F.lit(1), F.size("seq") - 1), lambda i: F.struct(F.col("seq")[i - 1]["value"].alias("a"), F.col("seq")[i]["value"].alias("b")))
-    votes = seen.select("attr", F.inline(steps)).groupBy("attr", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.sum(F.when(F.col("a") < F.col("b"), 1).otherwise(-1)).alias("score"))
-    sides = votes.select("attr", F.inline(F.array(F.struct(F.col("lo").alias("value"), (F.col("score") < 0).cast("int").alias("after")), F.struct(F.col("hi").alias("value"), (F.col("score") > 0).cast("int").alias("after")))))
-    return sides.groupBy("attr", "value").agg(F.sum("after").alias("level"))
+    seen = first.groupBy("entity_id", "attr").agg(F.collect_list(F.struct("at", "value")).alias("seq")).filter(F.size("seq") > 1)
+    pairs = seen.select("attr", F.explode("seq").alias("x"), "seq").select("attr", F.col("x.value").alias("a"), F.inline(F.transform(F.filter("seq", lambda y: y["at"] > F.col("x.at")), lambda y: F.struct(y["value"].alias("b")))))
+    votes = pairs.groupBy("attr", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    back = votes.select("attr", F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("against"))
+    scored = votes.join(back, ["attr", "a", "b"], "left").select("attr", "a", "b", (F.col("n") - F.coalesce("against", F.lit(0))).alias("score")).filter("score > 0")
+    return scored.groupBy("attr").applyInPandas(break_cycles, "attr string, a string, b string")
+
+
+def place_undated(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """entity_id, marks, as_of, level, n_rows for every combination of values (marks) of which a group has undated
+    records. as_of: time of the latest dated record that precedes it or has the same values; if dated records that follow it are
+    older than that (dates and rules then form a cycle) only what precedes those counts. level: how many other combinations of the group
+    precede this one, so that it rises along the order."""
+    known = rules.select(F.concat_ws("\x00", "attr", "a", "b").alias("rule")).agg(F.collect_set("rule").alias("rules"))  # one row, also without rules
+    undated = F.col("updated_at").isNull()
+    kinds = rows.groupBy("entity_id", "marks").agg(F.min("updated_at").alias("lo"), F.max("updated_at").alias("hi"), F.sum(undated.cast("int")).alias("n_undated"))
+    groups = kinds.groupBy("entity_id").agg(F.collect_list(F.struct("marks", "lo", "hi", "n_undated")).alias("kinds"), F.sum("n_undated").alias("n")).filter("n > 0").crossJoin(F.broadcast(known))
+    same_or_before = lambda s, t: F.forall(
+        F.zip_with(s, t, lambda x, y: (x["value"] == y["value"]) | F.array_contains(F.col("rules"), F.concat_ws("\x00", x["attr"], x["value"], y["value"]))), lambda ok: ok
+    )
+    each = groups.select("entity_id", "rules", "kinds", F.explode(F.filter("kinds", lambda k: k["n_undated"] > 0)).alias("t"))
+    each = each.withColumn("below", F.filter("kinds", lambda s: same_or_before(s["marks"], F.col("t.marks")))).withColumn("above", F.filter("kinds", lambda s: same_or_before(F.col("t.marks"), s["marks"]) & (s["marks"] != F.col("t.marks"))))
+    end = F.array_min(F.transform("above", lambda s: s["lo"]))
+    times = F.filter(F.flatten(F.transform("below", lambda s: F.array(s["hi"], s["lo"]))), lambda h: h.isNotNull() & (F.col("end").isNull() | (h < F.col("end"))))
+    return each.withColumn("end", end).select("entity_id", F.col("t.marks").alias("marks"), F.array_max(times).alias("as_of"), (F.size("below") - 1).alias("level"), F.col("t.n_undated").alias("n_rows"))
 
 
 def with_currency(records: DataFrame) -> DataFrame:
     """Adds as_of (timestamp) and level (int) to records with entity_id, updated_at, extractor, canonical_key and
-    deleted_at. Dated records keep their updated_at and have level 0. An undated one gets the level that the
-    learned rules give it within its group and the time of the latest dated record of no higher level (null if
-    there is none); among equal times the higher level is the later."""
-    if records.filter("updated_at is null").isEmpty():  # nothing to place; the file statistics mostly tell this
-        return records.withColumn("as_of", F.col("updated_at")).withColumn("level", F.lit(0))
-    rows = records.withColumn("marks", F.array(*currency_values()))
-    dated, undated = rows.filter("updated_at is not null"), rows.filter("updated_at is null")
-    rules = learn_precedence(dated)
-
-    def levels(df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.select(*keys, F.inline("marks")).join(rules, ["attr", "value"], "left").groupBy(*keys).agg(F.coalesce(F.sum("level"), F.lit(0)).cast("int").alias("level"))
-
-    groups = undated.select("entity_id").distinct()
-    dated_levels = levels(dated.join(groups, "entity_id", "left_semi").select("entity_id", "marks", "updated_at").distinct().withColumn("marks_id", F.xxhash64("marks")), ["entity_id", "updated_at", "marks_id"])
-    by_level = dated_levels.groupBy("entity_id", "level").agg(F.max("updated_at").alias("at")).groupBy("entity_id").agg(F.collect_list(F.struct("level", "at")).alias("by_level"))
-    placed = levels(undated.select("entity_id", "record_id", "marks").distinct(), ["entity_id", "record_id"]).join(by_level, "entity_id", "left")
-    placed = placed.select("entity_id", "record_id", "level", F.array_max(F.transform(F.filter("by_level", lambda x: x["level"] <= F.col("level")), lambda x: x["at"])).alias("as_of"))
-    late = undated.join(placed, ["entity_id", "record_id"], "left").drop("marks")
-    return dated.drop("marks").withColumn("as_of", F.col("updated_at")).withColumn("level", F.lit(0)).unionByName(late.select(*[c for c in dated.columns if c != "marks"], "as_of", "level"))
+    deleted_at. Dated records keep their updated_at and have level 0, undated ones get those of place_undated. An entity_id must not be null."""
+    marks = F.array(*currency_values())
+    thin = records.select("entity_id", "updated_at", marks.alias("marks"))
+    placed = place_undated(thin, learn_precedence(thin.filter("updated_at is not null")))
+    dated = records.filter("updated_at is not null").withColumn("as_of", F.col("updated_at")).withColumn("level", F.lit(0))
+    undated = records.filter("updated_at is null").withColumn("marks", marks)
+    late = heavy_split_join(undated, placed.drop("n_rows"), ["entity_id", "marks"], placed.select("entity_id", "marks", "n_rows"))
+    return dated.unionByName(late.drop("marks"))
 
 
 _COLUMNS = ["record_id", "entity_id", "name", "canonical_key", "description", "aliases", "confidence", "source_chunk_ids", "extractor", "updated_at", "deleted_at"]
@@ -136,9 +167,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The learned precedence of values: attr, value, level."""
+    """The learned precedence of values: attr, value, level (how many values come before it)."""
     rows = pick(table(spark, sf_dir, "extracted_entities"), *_COLUMNS).filter("entity_id is not null and updated_at is not null")
-    return learn_precedence(rows.withColumn("marks", F.array(*currency_values())))
+    rules = learn_precedence(rows.withColumn("marks", F.array(*currency_values())))
+    return rules.select("attr", F.inline(F.array(F.struct(F.col("a").alias("value"), F.lit(0).alias("n")), F.struct(F.col("b").alias("value"), F.lit(1).alias("n"))))).groupBy("attr", "value").agg(F.sum("n").alias("level"))
+
+
+def p5_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the survivor is still found when the timestamps of a tenth of the records (by the hash of their id) are
+    hidden: field_name, n_entities (that have a hidden record), n_same."""
+    records = pick(table(spark, sf_dir, "extracted_entities"), *_COLUMNS)
+    hide = F.pmod(F.xxhash64(F.lit(17), "record_id"), F.lit(10)) == 0
+    touched = records.filter(hide & F.col("entity_id").isNotNull()).select("entity_id").distinct()
+    true = surviving_records(records).join(touched, "entity_id", "left_semi")
+    told = surviving_records(records.withColumn("updated_at", F.when(~hide, F.col("updated_at")))).select("entity_id", F.col("description_record").alias("d"), F.col("confidence_record").alias("c"))
+    field = lambda name, a, b: F.struct(F.lit(name).alias("field_name"), a.isNotNull().cast("int").alias("n"), F.coalesce((a == b).cast("int"), F.lit(0)).alias("same"))
+    both = true.join(told, "entity_id").select(F.inline(F.array(field("description", F.col("description_record"), F.col("d")), field("confidence", F.col("confidence_record"), F.col("c")))))
+    return both.groupBy("field_name").agg(F.sum("n").alias("n_entities"), F.sum("same").alias("n_same"))
 
 
 _Q = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
@@ -166,4 +211,4 @@ union all select distinct entity_id, 'aliases', item from al where item <> '' an
 union all select distinct entity_id, 'source_chunk_ids', item from (select entity_id, {_STRIP('unnest(source_chunk_ids)')} item from r) where item <> '' and entity_id in (from several)
 """
 }
-QUERIES = {"p5_found": p5_found, "p5_currency": p5_currency}
+QUERIES = {"p5_found": p5_found, "p5_currency": p5_currency, "p5_hidden": p5_hidden}
