@@ -1,31 +1,43 @@
 """Personal information in free text: found with a semi-Markov conditional random field, replaced by placeholders.
 
-Every span that could be a whole mailbox, telephone number, identity number, address or name becomes a segment of
-bounded length with features of the whole span (shape, parts, length) and of its surroundings (cue words, neighbours,
-what it would cut off). A dynamic programme over the text chooses the boundaries and types of all segments together,
-the one labelling of greatest score; text outside segments scores 0. The weights are trained here, by the likelihood
-of labelled lines that are written from templates (TRAIN_LINES of them, the bound of the sample), with forward and
-backward sums over the same segments. Whole texts are read; they are never shuffled."""
+Every span that could be a whole mailbox, telephone number, identity number, address or name becomes a segment of at
+most SEGMENT characters with features of the whole span (shape, parts, length, kinds of its words) and of its
+surroundings (cue words, neighbours, what it would cut off). A name may be any run of two to five capitalised words, with
+initials and particles, in either order; in small letters it is proposed after a known given name, a title or a cue. A dynamic
+programme over the text chooses the boundaries and types of all segments together, the one labelling of greatest
+score; text outside segments scores 0. The weights are trained here, by the likelihood of labelled lines that are written
+from templates (TRAIN_LINES of them, the bound of the sample), with forward and backward sums over the same
+segments. Whole texts are read; they are never shuffled.
+
+What kind of word a word is (common, proper, foreign, unknown) is told by the vocabularies of public tokenizers, whose
+folder is a parameter: a word that is one token in small letters is a common one."""
 
 from __future__ import annotations
 
+import base64
+import bisect
+import json
 import math
 import random
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
-import regex as re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.lexicon import GIVEN
+from weftline.llm.tokens import VOCABULARIES
 from weftline.session import pick, spread, table
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 #: Labelled lines that the weights are fitted on, and rounds over them.
-TRAIN_LINES, ROUNDS = 3000, 5
+TRAIN_LINES, ROUNDS = 8000, 4
+#: Characters of a segment at most: a mailbox has up to 64 before its sign and 253 after it. p8_report counts what is longer.
+SEGMENT, BEFORE_SIGN, AFTER_SIGN = 400, 80, 320
 
 PARTICLES = "de del della di da la le el al van von der den bin ben ter ten dos du".split()
 TITLES = "mr mrs ms mx miss dr prof sir dame herr frau señor señora don doña monsieur madame mme".split()
@@ -40,30 +52,60 @@ CUES = {
     "place": "to at in address adresse anschrift domicile domicilio resident live lives moved form send sent wohnhaft dirección live visit".split(),
     "person": "by for from contact according attendance thanks signed von de par a an belongs gehört revient es ist regards sincerely dear with con composer author heirs llame an ansprechperson signé chair present dr mr mrs ms mx prof visit".split(),
 }
+# fixed values: words after which a person is named, the next word or the one after it
+WHO = set("contact dear hello hi thanks thank regards sincerely signed according attendance present attn name named interview written holder titulaire issued undersigned belongs owned told met asked joined sender author composer heirs cher chère bonjour merci contactez appelez rappelez signé nom lieber liebe hallo danke ansprechperson gezeichnet unterzeichnet inhaber gehört estimado estimada hola gracias llame firmado nombre dossier unterlagen solicitud revient parte".split())
 _CUE = {w: k for k, ws in reversed(CUES.items()) for w in ws}
 _CUES_OF = {w: [k for k, ws in CUES.items() if w in ws] for w in _CUE}
+# fixed values: words that join others in the four languages, and words that open sentences
+FUNCTION = "the a an this that these those it its he she they we you i and or but of in on at to for from with by as is are was were be has have had not no if when while after before since during under over between about into than then there here where who what which how why can may must will would should please see all any each every some other both le la les un une des du de et ou mais dans sur pour par avec sans est sont était ce cette ces il elle ils nous vous je qui que quoi où comment pourquoi si quand après avant chaque tout tous der die das den dem des ein eine einen einem einer und oder aber in im am an auf für mit von zu zum zur bei nach aus ist sind war wird werden nicht wenn als wer was wie warum sie er es wir ihr ich jede jeder jedes alle el la los las un una unos unas y o pero en con por para sin es son fue del al que quien como cuando donde si no se su sus cada todo todos cualquier"
 DIGITS = "oh zero one two three four five six seven eight nine double triple null eins zwei drei vier fünf sechs sieben acht neun".split()
 
-WORD = re.compile(r"\p{L}[\p{L}\p{M}'’]*(?:[-‐]\p{L}[\p{L}\p{M}'’]*)*")
-EMAIL = re.compile(r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_][\p{L}\p{N}._%+\-]*(?:\s?[@＠]\s?|\s?(?:\(|\[|\{|<)(?i:at)(?:\)|\]|\}|>)\s?|\s(?i:at)\s|&#64;|%40)[\p{L}\p{N}][\p{L}\p{N}\-]*(?:(?:\.|\s?(?:\(|\[|\{)(?i:dot)(?:\)|\]|\})\s?|\s(?i:dot)\s)[\p{L}\p{N}][\p{L}\p{N}\-]*)+")
-NUMBER = re.compile(r"(?:\+|\(\+?)?\p{Nd}(?:[\p{Nd} ()./\-–‑\u00a0]{2,30})\p{Nd}(?:[ \-]?\p{L}\b)?(?:,?\s?(?:ext\.?|extension|x|Durchwahl|App\.|poste|anexo)\s?\p{Nd}{1,5})?")
-_HEAD = re.compile(r"(?<![\p{L}\p{Nd}])\p{L}{1,2}[ \-]?$")
-_EXT = re.compile(r",?\s?(?:ext\.?|extension|x|Durchwahl|App\.|poste|anexo)\s?\p{Nd}{1,5}$")
-_TAIL = re.compile(r"[ \-]?\p{L}$")
-_GROUP, _PLAIN, _DIGIT, _UPPER, _LOWERS = re.compile(r"\p{Nd}+"), re.compile(r"[\p{Nd}\p{L}]"), re.compile(r"\p{Nd}"), re.compile(r"\p{Lu}"), re.compile(r"\p{Ll}+")
+
+
+def _ranges(category: str) -> str:
+    """The letters of a Unicode category (of the basic plane) as the inside of a character class."""
+    at = [cp for cp in range(0x10000) if unicodedata.category(chr(cp)) == category]
+    out, i = [], 0
+    while i < len(at):
+        j = i
+        while j + 1 < len(at) and at[j + 1] == at[j] + 1:
+            j += 1
+        out.append(re.escape(chr(at[i])) + (f"-{re.escape(chr(at[j]))}" if j > i else ""))
+        i = j + 1
+    return "".join(out)
+
+
+_UP, _LOW, _L, _N = f"[{_ranges('Lu')}]", f"[{_ranges('Ll')}]", r"[^\W\d_]", r"[^\W_]"
+_REST = rf"(?:{_L}|['’\u0300-\u036f])"
+WORD = re.compile(rf"{_L}{_REST}*(?:[-‐]{_L}{_REST}*)*")
+_CAP = rf"{_UP}{_REST}*(?:[-‐]{_L}{_REST}*)*"
+_PARTICLE = rf"(?:{'|'.join(PARTICLES)})"
+#: Capitalised words, initials and particles in a row; a comma or a line end may stand between.
+CAPS_RUN = re.compile(rf"(?<!{_N}){_CAP}(?:(?:\.? ?|,? |[ \u00a0]{{1,3}}|\.?\n)(?:{_PARTICLE} )?{_CAP})+")
+_TOKEN = re.compile(rf"{_CAP}|(?<!{_N}){_PARTICLE}(?= )")
+EMAIL = re.compile(rf"(?<![\w.%+\-])\w[\w.%+\-]*(?:\s?[@＠]\s?|\s?(?:\(|\[|\{{|<)(?i:at)(?:\)|\]|\}}|>)\s?|\s(?i:at)\s|&#64;|%40){_N}(?:{_N}|-)*(?:(?:\.|\s?(?:\(|\[|\{{)(?i:dot)(?:\)|\]|\}})\s?|\s(?i:dot)\s){_N}(?:{_N}|-)*)+")
+NUMBER = re.compile(rf"(?:\+|\(\+?)?\d(?:[\d ()./\-–‑\u00a0]{{2,30}})\d(?:[ \-]?{_L}\b)?(?:,?\s?(?:ext\.?|extension|x|Durchwahl|App\.|poste|anexo)\s?\d{{1,5}})?")
+_HEAD = re.compile(rf"(?<!{_N})(?:{_UP}{{1,2}}[ \-]|{_L}{{1,2}})$")
+_EXT = re.compile(r",?\s?(?:ext\.?|extension|x|Durchwahl|App\.|poste|anexo)\s?\d{1,5}$")
+_TAIL = re.compile(rf"[ \-]?{_L}$")
+_GROUP, _PLAIN, _DIGIT, _UPPER, _LOWERS = re.compile(r"\d+"), re.compile(_N), re.compile(r"\d"), re.compile(_UP), re.compile(_LOW + "+")
 _AT = re.compile(r"[@＠]|[(\[{<](?i:at)[)\]}>]|&#64;|%40")
 _AT_WORD, _DOT_WORD = re.compile(r"\s(?i:at)\s"), re.compile(r"(?i)\sdot\s")
-_POSTCODE = re.compile(r"\p{N}{4,5}$|\p{N}{5}\s")
+_POSTCODE = re.compile(r"\d{4,5}$|\d{5}\s")
 SPELLED = re.compile(r"\b(?:(?:" + "|".join(DIGITS) + r")[ ,\-]+){5,}(?:" + "|".join(DIGITS) + r")\b", re.I)
-_W = r"\p{Lu}[\p{L}\p{M}'’\-]+"
+_W = rf"{_UP}(?:{_L}|['’\-\u0300-\u036f])+"
 _TOWN = rf"{_W}(?:[ \-]{_W}){{0,2}}"
-_UNIT = r"(?<![\p{L}\p{N}/\-.])(?:(?i:unit|flat|apt\.?|apartment|suite|level|room)\s+\p{L}?\p{N}+\p{L}?(?:,\s*|/|\s+))?"
+_UNIT = rf"(?<![\w/\-.])(?:(?i:unit|flat|apt\.?|apartment|suite|level|room)\s+{_L}?\d+{_L}?(?:,\s*|/|\s+))?"
+#: A plain sign of an address (what can be looked for quickly), how far before it the address may begin, its pattern.
 ADDRESSES = [
-    (re.compile(rf"({_UNIT}\p{{N}}+\p{{L}}?(?:[/\-]\p{{N}}+\p{{L}}?)?[ \t]+(?!The\b){_W}(?:[ \t]+{_W}){{0,2}}?[ \t]+(?i:{'|'.join(STREET)})\b(?:\.(?=,|\s\p{{Lu}}|\s*\n))?)((?:,\s*|\s+|\s*\n\s*){_TOWN})?((?:,?\s+)\p{{Lu}}{{2,3}}\b)?((?:,?\s+)\p{{N}}{{4,5}}\b)?"), "en"),
-    (re.compile(rf"(\p{{N}}+(?:\s?(?:bis|ter|quater))?,?\s+(?i:rue|impasse|avenue|av\.|bd|boulevard|place|chemin|allée|allee|quai|route|cours|passage|square)\s+(?:(?:de la|de l['’]|du|des|de|d['’])\s?)?{_W}(?:\s+{_W})?)((?:,?\s+)\p{{N}}{{5}})?(\s+{_TOWN})?"), "fr"),
-    (re.compile(rf"({_W}(?i:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring)\s+\p{{N}}+(?:\s?\p{{L}}\b)?|{_W}\s+(?:Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee|Ufer|Damm|Ring)\s+\p{{N}}+(?:\s?\p{{L}}\b)?)((?:,?\s+(?:in\s+)?)\p{{N}}{{5}})?(\s+{_TOWN})?"), "de"),
-    (re.compile(rf"(?<![\p{{L}}\p{{N}}])((?i:calle|c/|avenida|avda\.?|av\.|plaza|paseo|pza\.|camino|ronda|carrer)\s+(?:(?:de la|de los|de las|del|de)\s+)?{_W}(?:\s+{_W})?,?\s+\p{{N}}+(?:\s?\p{{L}}\b)?(?:,\s*\p{{N}}+\s?[ºª°]\s*\p{{L}}?\b)?)((?:,?\s+)\p{{N}}{{5}})?(\s+{_TOWN})?"), "es"),
-]
+    (re.compile(rf"\d{_L}?[ \t]+{_UP}"), 40, re.compile(rf"({_UNIT}\d+{_L}?(?:[/\-]\d+{_L}?)?[ \t]+(?!The\b){_W}(?:[ \t]+{_W}){{0,2}}?[ \t]+(?i:{'|'.join(STREET)})\b(?:\.(?=,|\s{_UP}|\s*\n))?)((?:,\s*|\s+|\s*\n\s*){_TOWN})?((?:,?\s+){_UP}{{2,3}}\b)?((?:,?\s+)\d{{4,5}}\b)?"), "en"),
+    (re.compile(r"(?i)\d(?:\s?(?:bis|ter|quater))?,?\s+(?:rue|impasse|avenue|av\.|bd|boulevard|place|chemin|all[ée]e|quai|route|cours|passage|square)\s"), 20, re.compile(rf"(\d+(?:\s?(?:bis|ter|quater))?,?\s+(?i:rue|impasse|avenue|av\.|bd|boulevard|place|chemin|allée|allee|quai|route|cours|passage|square)\s+(?:(?:de la|de l['’]|du|des|de|d['’])\s?)?{_W}(?:\s+{_W})?)((?:,?\s+)\d{{5}})?(\s+{_TOWN})?"), "fr"),
+    (re.compile(r"(?<=[a-zäöüß .A-Z])(?:[sS]tra(?:ß|ss)e|[sS]tr\.|[gG]asse|[wW]eg|[pP]latz|[aA]llee|[uU]fer|[dD]amm|[rR]ing|STRASSE|STR\.|GASSE|WEG|PLATZ|ALLEE)\s+\d"), 80, re.compile(rf"({_W}(?i:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring)\s+\d+(?:\s?{_L}\b)?|{_W}\s+(?:Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee|Ufer|Damm|Ring)\s+\d+(?:\s?{_L}\b)?)((?:,?\s+(?:in\s+)?)\d{{5}})?(\s+{_TOWN})?"), "de"),
+    (re.compile(r"(?i)(?<!\w)(?:calle|c/|avenida|avda\.?|av\.|plaza|paseo|pza\.|camino|ronda|carrer)\s"), 0, re.compile(rf"(?<!\w)((?i:calle|c/|avenida|avda\.?|av\.|plaza|paseo|pza\.|camino|ronda|carrer)\s+(?:(?:de la|de los|de las|del|de)\s+)?{_W}(?:\s+{_W})?,?\s+\d+(?:\s?{_L}\b)?(?:,\s*\d+\s?[ºª°]\s*{_L}?\b)?)((?:,?\s+)\d{{5}})?(\s+{_TOWN})?"), "es"),
+]
+#: Two or three words in small letters after a title or a cue that a person's name follows.
+LOW_NAME = re.compile(rf"(?<!\w)(?:(?:[Dd]r|[Mm]rs?|[Mm]s|[Pp]rof|[Ss]ra?|[Mm]me|[Mm]iss|[Ff]rau|[Hh]err)\.? |(?:[Ss]igned|[Ss]ent|[Ww]ritten|[Ff]iled|[Ss]igné|[Uu]nterschrieben|[Ff]irmado) (?:by|par|von|por) |(?:[Nn]ame|[Cc]ontact|[Aa]ttn|[Nn]om|[Nn]ombre): )({_LOW}(?:{_L}|['’])+(?: {_PARTICLE})?(?: {_LOW}(?:{_L}|['’\-]){{2,}}){{1,2}})(?![\w'’\-])")
+_DIGIT_WORDS = set(DIGITS)
 
 
 @lru_cache(200_000)
@@ -72,7 +114,39 @@ def fold(w: str) -> str:
 
 
 _GIVEN = {"".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)) for w in GIVEN}
+_LISTED = _GIVEN | set(GIVEN)
 _FIRM, _TITLE, _PART = set(FIRM), set(TITLES), set(PARTICLES)
+_FUNC = set(FUNCTION.split())
+_STREET = set(STREET) - {"st", "dr", "al", "la"}
+_COMMON = {"C", "F", "i"}
+_LOW_CUES = set(TITLES) | set("signed sent written filed signé unterschrieben firmado name contact attn nom nombre".split())
+_LONE = "AIOYEÀ"  # single letters that are words
+_TITLED = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(TITLES)})\.? $")
+_PARTICLE_END = re.compile(rf"(?<!\w)({_PARTICLE}) $")
+_SHOUT = re.compile(rf"{_UP}{{2,}},? $")
+
+#: Words by the vocabularies: common ones, proper ones, capitalised ones of many languages, those of a vocabulary in small letters.
+Lexicon = tuple[frozenset, frozenset, frozenset, frozenset]
+_KINDS: dict[Lexicon, dict[str, str]] = {}
+_EDGES = ".,;:!?()[]{}<>\"“”„«»|*#>-–"
+NO_WORDS: Lexicon = (frozenset(), frozenset(), frozenset(), frozenset())
+
+
+@lru_cache(1)
+def lexicon(folder: str = VOCABULARIES) -> Lexicon:
+    """From the byte-level vocabularies and the one of small letters in the folder; empty sets if they are not there."""
+
+    def tokens(name: str) -> set[str]:
+        path = Path(folder) / name
+        if not path.exists():
+            return set()
+        said = (base64.b64decode(line.split()[0]).decode("utf-8", "ignore") for line in path.read_bytes().splitlines() if line)
+        return {t[1:] for t in said if t[:1] == " " and t[1:].isalpha() and len(t) > 3}
+
+    english, many = tokens("byte_bpe_50k.tiktoken"), tokens("byte_bpe_multi_50k.tiktoken")
+    small = Path(folder) / "word_bpe_49k.json"
+    known = {t[:-4] for t in json.loads(small.read_text())["model"]["vocab"] if t.endswith("</w>") and t[:-4].isalpha() and len(t) > 7} if small.exists() else set()
+    return frozenset(w for w in english | many if w.islower()), frozenset(w for w in english if w.istitle()), frozenset(w for w in many if w.istitle()), frozenset(known)
 
 
 def shape(s: str) -> str:
@@ -80,62 +154,91 @@ def shape(s: str) -> str:
 
 
 class Text:
-    """A text with its words, and the segments that could be personal information."""
+    """A text and the segments that could be personal information; over: how many were too long to be one."""
 
-    def __init__(self, text: str) -> None:
-        self.text = text
-        self.words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
-        self.starts = [w[0] for w in self.words]
+    def __init__(self, text: str, words: Lexicon = NO_WORDS) -> None:
+        self.text, self.lexicon, self.over = text, words, 0
         self.segments: dict[tuple[int, int, str], list[str]] = {}
+        self._near: dict[int, tuple] = {}
+        self._kinds = _KINDS.setdefault(words, {}) if words is not NO_WORDS else {}
+        self.low = text.lower()
+        self.said = {w.strip(_EDGES) for w in self.low.split()}
         self._emails()
         self._numbers()
         self._addresses()
         self._names()
 
-    def _before(self, at: int, n: int = 4) -> list[str]:
-        """Up to n words before a place, nearest first, within the line."""
-        import bisect
-
-        i = bisect.bisect_left(self.starts, at)
-        line = self.text.rfind("\n", 0, at)
-        out = []
-        for s, e, w in reversed(self.words[max(0, i - n) : i]):
-            if e > at or s < line:
-                continue
-            out.append(w.lower())
-        return out
+    def kind(self, w: str) -> str:
+        if (k := self._kinds.get(w)) is None:
+            if len(self._kinds) > 100_000:
+                self._kinds.clear()
+            k = self._kinds[w] = self._kind(w)
+        return k
+
+    def _kind(self, w: str) -> str:
+        """i initial, G listed given name, F function word, C common, P proper, N of another language, W known in small letters only, O unknown."""
+        if len(w) == 1:
+            return "i"
+        f = w.lower()
+        if f in _LISTED or not f.isascii() and fold(f) in _GIVEN:
+            return "G"
+        if f in _FUNC or f[:2] in ("l'", "l’"):
+            return "F"
+        f = f.rsplit("-", 1)[-1]
+        common, proper, many, known = self.lexicon
+        return "C" if f in common else "P" if (t := f.capitalize()) in proper else "N" if t in many else "W" if f in known else "O"
+
+    def _before(self, at: int) -> list[str]:
+        """Up to four words before a place, nearest first, within the line."""
+        left = self.text[max(0, at - 60) : at]
+        return [w.lower() for w in WORD.findall(left[left.rfind("\n") + 1 :])[-4:]][::-1]
+
+    def _around(self, a: int) -> tuple[list[str], set[str], str]:
+        """Words before, features of them, mark directly before."""
+        if (known := self._near.get(a)) is None:
+            before = self._before(a)
+            seen = {c for i, w in enumerate(before) for c in _CUES_OF.get(w, ()) if i < 3 or c in ("id", "code")}
+            f = {"cue=" + c for c in seen} or {"cue=none"}
+            mark = self.text[:a][-2:].strip(" ")[-1:] if a else "^"
+            mark = mark if mark and not mark.isalnum() else "w" if mark else "s"
+            f.add("mark=" + mark)
+            if before and mark in "ws:":
+                f |= {"near=" + c for c in _CUES_OF.get(before[0], ())}
+                f.add("after=" + self.kind(before[0]))
+            known = self._near[a] = (before, f, mark)
+        return known
 
     def _after(self, at: int) -> str:
-        import bisect
-
-        i = bisect.bisect_left(self.starts, at)
-        return self.words[i][2] if i < len(self.words) and self.words[i][0] - at <= 3 and "\n" not in self.text[at : self.words[i][0]] else ""
+        m = WORD.match(self.text, at + 1) if self.text[at : at + 1] in (" ", "\u00a0") else None
+        return m.group() if m else ""
 
     def add(self, kind: str, a: int, b: int, feats: list[str]) -> None:
-        if b - a > 160 or b <= a:
+        if b <= a:
+            return
+        if b - a > SEGMENT:
+            self.over += 1
             return
         t = self.text
-        before = self._before(a)
         left = t[a - 1] if a else "\n"
         right = t[b] if b < len(t) else "\n"
-        f = [*feats, "p1=" + (before[0] if before else "^"), "n1=" + (self._after(b).lower()[:12] or "$")]
-        seen = {c for i, w in enumerate(before[:4]) for c in _CUES_OF.get(w, ()) if i < 3 or c in ("id", "code")}
-        f += ["cue=" + c for c in seen] or ["cue=none"]
-        f += ["near=" + c for c in _CUES_OF.get(before[0], ())] if before else []
+        f = [*feats]
+        if kind in ("NAME", "PHONE", "ID_NUMBER"):
+            f += [*self._around(a)[1], "next=" + (right if not right.isalnum() else "w")]
         if left.isalnum() or left in "@＠._+-/" and a > 1 and t[a - 2].isalnum():
             f.append("cut-left")
         if right.isalnum() or right in "@＠_-/" and b + 1 < len(t) and t[b + 1].isalnum() or right == "." and b + 1 < len(t) and t[b + 1].isalnum():
             f.append("cut-right")
-        self.segments[(a, b, kind)] = [f"{kind}|{x}" for x in ("bias", *f)]
+        f.append("bias")
+        self.segments[(a, b, kind)] = f
 
     def _emails(self) -> None:
         t = self.text
         signs = list(_AT.finditer(t))
-        if _DOT_WORD.search(t):
+        if " dot " in t or " DOT " in t or _DOT_WORD.search(t):
             signs += list(_AT_WORD.finditer(t))
         seen = set()
         for sign in signs:
-            for m in EMAIL.finditer(t, max(0, sign.start() - 80), min(len(t), sign.end() + 160)):
+            for m in EMAIL.finditer(t, max(0, sign.start() - BEFORE_SIGN), min(len(t), sign.end() + AFTER_SIGN)):
                 if not m.start() <= sign.start() < m.end() or m.span() in seen:
                     continue
                 seen.add(m.span())
@@ -143,157 +246,218 @@ class Text:
                 marked = bool(_AT.search(s))
                 if not marked and not _DOT_WORD.search(s):
                     continue
-                self.add("EMAIL", m.start(), m.end(), ["marked" if marked else "words", "spaced" if " " in s else "whole", "dots" if "dot" in s.lower() else "point"])
+                feats = ["marked" if marked else "words", "spaced" if " " in s else "whole", "dots" if "dot" in s.lower() else "point"]
+                self.add("EMAIL", m.start(), m.end(), feats)
+                if " " in s and "dot" not in s.lower():  # "local @ host.tld" may also be a mailbox that ends earlier
+                    self.add("EMAIL", m.start(), m.start() + len(s.rstrip()), feats)
 
     def _numbers(self) -> None:
         t = self.text
-        for m in SPELLED.finditer(t):
-            self.add("PHONE", m.start(), m.end(), ["spelled"])
+        if not _DIGIT_WORDS.isdisjoint(self.said):
+            for m in SPELLED.finditer(t):
+                self.add("PHONE", m.start(), m.end(), ["spelled"])
         for m in NUMBER.finditer(t):
             a, b = m.span()
             s = m.group()
-            if sum(map(str.isdecimal, s)) < 6:
+            if len(_DIGIT.findall(s)) < 6:
                 continue
             ends, starts = {b}, {a}
-            if head := _HEAD.search(t, max(0, a - 3), a):
-                starts.add(head.start())
+            if head := _HEAD.search(t[max(0, a - 4) : a]):
+                starts.add(max(0, a - 4) + head.start())
             if ext := _EXT.search(s):
                 ends.add(a + ext.start())
             if tail := _TAIL.search(s):
                 ends.add(a + tail.start())
             for x in starts:
                 for y in ends:
-                    self._number(x, y)
+                    self._number(x, y, "ext" if ext and y == b else "ext-cut" if ext else "no-ext")
 
-    def _number(self, a: int, b: int) -> None:
+    def _number(self, a: int, b: int, ext: str) -> None:
         s = self.text[a:b]
         while s and s[0] == "(" and s.count("(") > s.count(")"):
             a, s = a + 1, s[1:]
         while s and s[-1] in " .-/(":
             b, s = b - 1, s[:-1]
-        n = sum(c.isdecimal() for c in s)
+        n = len(_DIGIT.findall(s))
         if n < 6 or n > 20:
             return
-        sh = shape(s)
         parts = _GROUP.findall(s)
         groups = [len(g) for g in parts]
         seps = "".join(sorted(set(_PLAIN.sub("", s))))
-        f = [f"shape={sh}", f"groups={groups[:6]}", f"n={n}", f"seps={seps}", f"first={s[0] if s[0] in '+(' else 'L' if s[0].isalpha() else '0' if s[0] in '0０' else 'd'}", "letters" if any(c.isalpha() for c in s) else "digits"]
+        f = [f"shape={shape(s)}", f"groups={groups[:6]}", f"n={n}", f"seps={seps}", f"first={s[0] if s[0] in '+(' else 'L' if s[0].isalpha() else '0' if s[0] in '0０' else 'd'}", "letters" if any(c.isalpha() for c in s) else "digits", ext]
         if any(len(g) == 4 and g[:2] in ("19", "20") for g in parts):
             f.append("year")
         self.add("PHONE", a, b, f)
         self.add("ID_NUMBER", a, b, f)
 
     def _addresses(self) -> None:
-        for pattern, lang in ADDRESSES:
-            for m in pattern.finditer(self.text):
-                ends = {m.end(1)}
-                last = m.end(1)
-                if self.text[last - 1] == ".":
-                    ends.add(last - 1)
-                for g in range(2, pattern.groups + 1):
-                    if m.group(g) and m.start(g) == last:
-                        last = m.end(g)
-                        ends.add(last)
-                for b in ends:
-                    parts = sum(1 for g in range(2, pattern.groups + 1) if m.group(g) and m.end(g) <= b)
-                    more = "more" if b < last else "all"
-                    over = "lines" if "\n" in self.text[m.start() : b] else "line"
-                    code = "postcode" if _POSTCODE.search(self.text[m.start(1) + 3 : b]) else "nocode"
-                    self.add("ADDRESS", m.start(), b, [lang, f"parts={parts}", more, over, code, f"{lang}-{more}"])
-
-    def _name(self, i: int, j: int, feats: list[str]) -> None:
-        """Words i to j as a name."""
-        a, b = self.words[i][0], self.words[j][1]
-        if self.text[b : b + 1] == "." and len(self.words[j][2]) == 1:
+        t = self.text
+        for sign, back, pattern, lang in ADDRESSES:
+            done = 0
+            if lang == "de" and not any(w in self.low for w in ("stra", "str.", "gasse", "weg ", "platz", "allee", "ufer", "damm", "ring ")):
+                continue
+            for hint in sign.finditer(t):
+                if hint.start() < done:
+                    continue
+                starts = (m for x in range(max(done, hint.start() - back), hint.start() + 1) if (m := pattern.match(t, x, hint.start() + SEGMENT)) and m.end() > hint.start())
+                for m in starts:
+                    done = m.end()
+                    ends = {m.end(1)}
+                    last = m.end(1)
+                    if t[last - 1] == ".":
+                        ends.add(last - 1)
+                    for g in range(2, pattern.groups + 1):
+                        if m.group(g) and m.start(g) == last:
+                            last = m.end(g)
+                            ends.add(last)
+                    for b in ends:
+                        parts = sum(1 for g in range(2, pattern.groups + 1) if m.group(g) and m.end(g) <= b)
+                        more = "more" if b < last else "all"
+                        over = "lines" if "\n" in t[m.start() : b] else "line"
+                        code = "postcode" if _POSTCODE.search(t[m.start(1) + 3 : b]) else "nocode"
+                        self.add("ADDRESS", m.start(), b, [lang, f"parts={parts}", more, over, code, f"{lang}-{more}"])
+                    break
+
+    def _name(self, a: int, b: int, words: list[str], feats: list[str]) -> None:
+        """A name of these words (particles among them); its kinds tell given from family names."""
+        t = self.text
+        plain = [w for w in words if w.lower() not in _PART]
+        kinds = [self.kind(w) for w in plain]
+        if len(plain) < 2 or not any(len(w) > 2 for w in plain):
+            return
+        before, _, mark = self._around(a)
+        prev = before[0] if before and mark in "w.s" else ""
+        titled = prev in _TITLE
+        if not titled and _COMMON.issuperset(kinds):
+            return  # nothing but common words names nobody without a title
+        if len(plain[-1]) == 1 and t[b : b + 1] == ".":
             b += 1
-        inner = [fold(w[2]) for w in self.words[i : j + 1]]
-        nxt, prev = fold(self._after(b)), (self._before(a, 1) or [""])[0]
-        if any(w in _FIRM for w in inner):
-            feats.append("firm-inside")
-        if nxt in _FIRM and self._after(b)[:1].isupper():
-            feats.append("firm-next")
-        if self._after(b)[:1].isupper() and self.text[b : b + 1] == " ":
-            feats.append("capital-next")
+        f = [*feats, "kinds=" + "".join(kinds), f"first={kinds[0]}", f"last={kinds[-1]}", f"words={len(plain)}", "listed" if "G" in kinds else "unlisted"]
+        low = [w.lower() for w in plain]
+        if not _FIRM.isdisjoint(low):
+            f.append("firm-inside")
+        if not _TITLE.isdisjoint(low):
+            f.append("title-inside")
+        if not _STREET.isdisjoint(low):
+            f.append("street-inside")
+        nxt = self._after(b)
+        if nxt[:1].isupper():
+            f.append("capital-next")
+            if nxt.lower() in _FIRM:
+                f.append("firm-next")
+        strong = mark == ";" or (before and mark in "ws:." and not WHO.isdisjoint(before[:2]))
+        f.append("who" if strong else "nowho")
+        if not titled:
+            f.append(f"{'who' if strong else 'nowho'}-{''.join(kinds)}")
+            f.append(f"{'who' if strong else 'nowho'}-{'listed' if 'G' in kinds else 'unlisted'}")
+        cued = "person" in _CUES_OF.get(prev, ()) or mark in ":;" or titled
+        f.append("titled" if titled else "cued" if cued else "plain-left")
         if prev == "the":
-            feats.append("the")
+            f.append("the")
         if prev in ("and", "of", "und", "et", "y"):
-            feats.append("joined")
-        if prev in _TITLE:
-            feats.append("title")
-        if inner[0] in _TITLE:
-            feats.append("title-inside")
-        caps = [w[2].isupper() and len(w[2]) > 1 for w in self.words[i : j + 1]]
-        feats.append("caps" if all(caps) else "low" if all(w[2].islower() for w in self.words[i : j + 1]) else "some-caps" if any(caps) else "mixed")
-        feats.append(f"words={j - i + 1}")
-        self.add("NAME", a, b, feats)
+            f.append("joined")
+        caps = [w.isupper() and len(w) > 1 for w in plain]
+        f.append("caps" if all(c or len(w) == 1 for c, w in zip(caps, plain)) else "low" if all(w.islower() for w in plain) else "some-caps" if any(caps) else "mixed")
+        if "caps" in f and (nxt.isupper() and len(nxt) > 1 or _SHOUT.search(t[max(0, a - 20) : a])):
+            f.append("shouting")
+        self.add("NAME", a, b, f)
 
     def _names(self) -> None:
-        t, w = self.text, self.words
-        gap = lambda i: t[w[i][1] : w[i + 1][0]] if i + 1 < len(w) else "\n"
-
-        def surname(i: int, low: bool = False) -> bool:
-            x = w[i][2]
-            return len(x) > 2 and (x[0].isupper() or low and x.islower()) and fold(x) not in _TITLE
-
-        for i, (_, _, x) in enumerate(w):
-            f = x.lower() if x.isascii() else fold(x)
-            given = f in _GIVEN
-            initial = len(x) == 1 and x.isupper() and gap(i)[:1] == "."
-            if not given and not initial:
+        t = self.text
+        kind = self.kind
+        for run in CAPS_RUN.finditer(t):
+            a, b = run.span()
+            if all(kind(w.strip(_EDGES)) in "CF" for w in run.group().split()) and not _TITLED.search(t, max(0, a - 12), a):
+                continue  # nothing but common words names nobody without a title
+            self._in_run(a, b)
+        for w in _LISTED.intersection(self.said):
+            for m in re.finditer(rf"(?<!\w){re.escape(w)}(?!\w)", t):  # in small letters
+                self._low(m.start(), m.end())
+        for m in LOW_NAME.finditer(t) if not _LOW_CUES.isdisjoint(self.said) else ():
+            a, b = m.span(1)
+            words = m.group(1).split(" ")
+            self._name(a, b, words, ["plain"])
+            if len(words) > 2 and words[1].lower() not in _PART:
+                self._name(a, a + len(words[0]) + 1 + len(words[1]), words[:2], ["plain"])
+
+    def _in_run(self, a: int, b: int) -> None:
+        """Every window of two to four capitalised words in a run."""
+        t, kind = self.text, self.kind
+        at = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(t, a, b)]
+        kinds = [kind(w[2]) for w in at]
+        if _COMMON.issuperset(kinds) and not _TITLED.search(t, max(0, a - 12), a) and _TITLE.isdisjoint(w[2].lower() for w in at):
+            return  # nothing but common words names nobody without a title
+        if t[a - 1 : a] == " " and (before := _PARTICLE_END.search(t, max(0, a - 5), a)):  # the particle of a family name that stands first
+            at.insert(0, (before.start(1), before.end(1), before.group(1)))
+            kinds.insert(0, "F")
+        part = [w[2].lower() in _PART for w in at]
+        for i, k in enumerate(kinds):
+            k = "F" if len(at[i][2]) == 1 and at[i][2] in _LONE and t[at[i][1] : at[i][1] + 1] != "." else k
+            kinds[i] = k
+        n = len(at)
+        for i in range(n - 1):
+            low = part[i] and at[i][2][0].islower()  # a particle begins a name only where the family name stands first
+            if kinds[i] == "F" and not low:
                 continue
-            low = x.islower()
-            if initial and i and gap(i - 1) == " " and fold(w[i - 1][2]) in _GIVEN:
-                continue  # a middle initial
-            kind = "given" if given else "initial"
-            # given or initial first
-            j, mids = i + 1, 0
-            while j < len(w) and mids < 3:
-                g = gap(j - 1)
-                short = len(w[j - 1][2]) == 1
-                if g != " " and not (short and g in (". ", ".")):
-                    break
-                y = w[j][2]
-                if len(y) == 1 and y.isupper() and gap(j)[:1] == ".":
-                    j, mids = j + 1, mids + 1
-                    continue
-                if fold(y) in _PART and j + 1 < len(w) and gap(j) == " ":
-                    j, mids = j + 1, mids + 1
+            caps, commas, line = 0, 0, False
+            for j in range(i, n):
+                if j > i:
+                    gap = t[at[j - 1][1] : at[j][0]]
+                    if gap != " ":
+                        short = len(at[j - 1][2]) == 1
+                        if gap[:1] == ",":
+                            commas += 1
+                            if commas > 1 or caps > 2 or short:
+                                break
+                        elif "." in gap and not short:
+                            break
+                        line = line or "\n" in gap
+                if part[j]:
                     continue
-                if surname(j, low):
-                    self._name(i, j, [f"{kind}-first", "middle" if mids else "plain", "given-last" if fold(y) in _GIVEN else "other-last"])
-                    if fold(y) in _GIVEN and j + 1 < len(w) and gap(j) == " " and surname(j + 1, low):
-                        self._name(i, j + 1, [f"{kind}-first", "middle", "other-last"])
-                    if fold(y) in ("al",):
-                        j += 1
-                        continue
-                break
-            # surname first
-            if i and gap(i - 1) in (", ", " ") and surname(i - 1, low):
-                comma = gap(i - 1) == ", "
-                end = i
-                if i + 1 < len(w) and len(w[i + 1][2]) == 1 and gap(i) in (" ", ". ", ".") and gap(i + 1)[:1] == ".":
-                    end = i + 1
-                for e in {i, end}:
-                    head = i - 1
-                    f2 = ["comma" if comma else "turned", f"{kind}-second", "shout" if w[head][2].isupper() else "calm"]
-                    self._name(head, e, list(f2))
-                    if head and gap(head - 1) == " " and fold(w[head - 1][2]) in _PART:
-                        self._name(head - 1, e, [*f2, "particle"])
+                if kinds[j] == "F":
+                    break
+                caps += 1
+                if caps > 4:
+                    break
+                if caps >= 2 and (commas or not low):
+                    feats = ["comma" if commas else "plain"]
+                    if commas and kinds[j] == "i" and j == i + 1:
+                        feats.append("comma-initial")
+                    if line:
+                        feats.append("over-line")
+                    if low:
+                        feats.append("particle-first")
+                    if at[i][2].isupper() and len(at[i][2]) > 1 and not at[j][2].isupper():
+                        feats.append("shout")
+                    self._name(at[i][0], at[j][1], [x[2] for x in at[i : j + 1]], feats)
+
+    def _low(self, a: int, b: int) -> None:
+        """A known given name in small letters at a to b, with the words beside it."""
+        t = self.text
+        if m := re.compile(rf" (?:{_PARTICLE} ){{0,2}}({_LOW}(?:{_L}|['’])+(?:-{_L}(?:{_L}|['’])+)*)").match(t, b):
+            words = t[a : m.end()].split(" ")
+            if len(m.group(1)) > 2:
+                self._name(a, m.end(), words, ["plain"])
+        left = t[max(0, a - 50) : a]
+        if m := re.search(rf"(?<!\w)((?:{_PARTICLE} )?{_LOW}(?:{_L}|['’])+(?:-{_L}(?:{_L}|['’])+)*)(,? )$", left):
+            begin = max(0, a - 50) + m.start(1)
+            self._name(begin, b, [*m.group(1).split(" "), t[a:b]], ["comma" if "," in m.group(2) else "turned"])
+
+
+Weights = dict[str, dict[str, float]]  # by type and feature
 
 
 def score(feats: list[str], weights: dict[str, float]) -> float:
-    return sum(weights.get(f, 0.0) for f in feats)
+    get = weights.get
+    return sum([get(f, 0.0) for f in feats])
 
 
-def decode(text: Text, weights: dict[str, float]) -> list[tuple[int, int, str]]:
+def decode(text: Text, weights: Weights) -> list[tuple[int, int, str]]:
     """The segments of the best labelling."""
-    segs = sorted(((a, b, k, score(f, weights)) for (a, b, k), f in text.segments.items()), key=lambda s: s[1])
+    segs = sorted(((a, b, k, score(f, weights.get(k, {}))) for (a, b, k), f in text.segments.items()), key=lambda s: s[1])
     segs = [s for s in segs if s[3] > 0]
     if not segs:
         return []
-    import bisect
-
     ends = [s[1] for s in segs]
     best: list[tuple[float, int]] = [(0.0, -1)]  # by number of segments considered: score, last segment taken
     for n, (a, _, _, v) in enumerate(segs):
@@ -334,36 +498,46 @@ def marginals(segs: list[tuple[int, int, float]]) -> tuple[float, list[float]]:
     return z, [math.exp(alpha[at[a]] + s + beta[at[b]] - z) for a, b, s in segs]
 
 
-def train(lines: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = ROUNDS) -> dict[str, float]:
+def train(lines: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = ROUNDS, words: Lexicon = NO_WORDS) -> Weights:
     """Weights of greatest likelihood of the labelled lines (text, gold segments), by adaptive gradient steps with a
-    small penalty. A gold segment that no pattern proposes cannot be learned and is left out."""
-    weights: dict[str, float] = {}
-    seen: dict[str, float] = {}
-    data = [(t := Text(line), [g for g in gold if g in t.segments]) for line, gold in lines]
+    small penalty, averaged over the later rounds. A gold segment that no pattern proposes cannot be learned and is left out."""
+    weights: Weights = {k: {} for k in TYPES}
+    seen: dict[tuple[str, str], float] = {}
+    data = [(t := Text(line, words), [g for g in gold if g in t.segments]) for line, gold in lines]
     rnd = random.Random(11)
-    for _ in range(rounds):
+    kept: list[Weights] = []
+    for n in range(rounds):
         rnd.shuffle(data)
         for text, gold in data:
             if not text.segments:
                 continue
             keys = list(text.segments)
-            _, p = marginals([(a, b, score(text.segments[(a, b, k)], weights)) for a, b, k in keys])
-            gradient: dict[str, float] = {}
+            _, p = marginals([(a, b, score(text.segments[(a, b, k)], weights[k])) for a, b, k in keys])
+            gradient: dict[tuple[str, str], float] = {}
             for key, chance in zip(keys, p):
                 d = (key in gold) - chance
                 if abs(d) > 1e-4:
                     for f in text.segments[key]:
-                        gradient[f] = gradient.get(f, 0.0) + d
-            for f, g in gradient.items():
-                g -= 1e-3 * weights.get(f, 0.0)
-                seen[f] = seen.get(f, 1e-6) + g * g
-                weights[f] = weights.get(f, 0.0) + 0.4 * g / math.sqrt(seen[f])
-    return weights
+                        gradient[key[2], f] = gradient.get((key[2], f), 0.0) + d
+            for (k, f), g in gradient.items():
+                w = weights[k].get(f, 0.0)
+                g -= 1e-3 * w
+                seen[k, f] = seen.get((k, f), 1e-6) + g * g
+                weights[k][f] = w + 0.4 * g / math.sqrt(seen[k, f])
+        if n >= rounds // 2:
+            kept.append({k: dict(own) for k, own in weights.items()})
+    return {k: {f: sum(w[k].get(f, 0.0) for w in kept) / len(kept) for f in own} for k, own in weights.items()}
+
+
+# fixed values: given and family names that are not in the list of given names, so that weights do not lean on it
+OTHER_GIVEN = "alice kevin susan jennifer kwame ngozi brian karen steven patricia gary deborah chidi amara tunde folake rajesh priya sanjay mei hiroshi minh linh dmytro oksana jakub agnieszka zoltan ilona matteo chiara thiago beatriz rodrigo ximena laurent delphine thierry sabine uwe heike jorge rocio".split()
+OTHER_FAMILY = "johnson smith miller brown taylor wilson davies o'brien murphy mcdonald okafor mensah adeyemi patel sharma nguyen tran kowalski novak horvat rossi bianchi silva santos garcia lopez fernandez schmidt weber fischer dupont moreau lefebvre tanaka suzuki kim park ivanov petrov haddad rahman".split()
 
 
-def training_lines(n: int = TRAIN_LINES, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def training_lines(n: int = TRAIN_LINES, seed: int = 5, words: Lexicon = NO_WORDS) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Labelled lines from templates: carriers of personal information in four languages, and lines whose numbers,
-    names of firms, works, places and handles are none. Everything in them is invented."""
+    titles, firms, works, places and handles are none. The templates are written for this purpose; four names of ten are
+    not in the list of given names."""
     r = random.Random(seed)
     pick_ = r.choice
     digits = lambda k: "".join(pick_("0123456789") for _ in range(k))
@@ -373,35 +547,44 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 5) -> list[tuple[str, list[
         return "".join(pick_("b br d dr f g gr h j k kl l m n p pl pr r s sk st t tr v w y z".split()) + pick_("a e i o u ai ei ou".split()) for _ in range(r.randint(2, 3))) + pick_("k l m n r s t nd".split())
 
     cap = lambda: word().capitalize()
-    works = "Amber Silver Northern Quiet Broken Paper Glass Winter Velvet Copper".split()
-    things = "Bridge Garden Letter Signal Quilt Lantern Carousel Mirror River Hymn".split()
-    work = lambda: pick_([f"The {pick_(works)} {pick_(things)}", f"{pick_(works)} {pick_(things)}", f"{pick_(works)} {pick_(things)} No. {r.randint(1, 40)}", f"{pick_(things)} of {cap()}", f"{pick_(works)} and {pick_(works)}"])
-    firm = lambda: f"{cap()} {pick_('Records;Music Publishing;Theatre Company;Rights Management;Artist Agency;Choral Council;Sound Library;Media Association;Entertainment;Brass and Choral Editions;Songs International;Writers League;Repertoire House'.split(';'))}"
-    code = lambda: pick_([f"T-{digits(3)}.{digits(3)}.{digits(3)}-{digits(1)}", f"{upper(2)}-{upper(1)}{digits(1)}{upper(1)}-{digits(2)}-{digits(5)}", f"{digits(2)}-{digits(3)}-{pick_(['19', '20'])}{digits(2)}-{digits(3)}", f"{digits(3)}-{pick_(['19', '20'])}{digits(2)}", f"{r.randint(1, 400)}-{pick_(['19', '20'])}{digits(2)}-{r.randint(1, 400)}", f"4.{digits(3)}.{digits(3)}"])
+    first = "amber silent golden distant hollow frozen scarlet gentle rusty sleepy broken modern famous secret annual general national final open early".split()
+    thing = "bridge garden letter signal lantern mirror river harbour orchard window chimney market ledger whistle engine meeting report survey season chapter service committee manager director editor project".split()
+    common, known = sorted(words[0]) or first, sorted(words[3] - _LISTED) or thing
+    many = sorted(w.lower() for w in words[2]) or thing
+    odd = lambda: pick_(pick_([common, known, known, many])).title()
+    work = lambda: pick_([f"{odd()} {odd()}", f"{odd()} {odd()}", f"The {odd()} {odd()}", f"{odd()} of {cap()}", f"{odd()} and {odd()}", f"{cap()} {odd()}", f"{cap()} {odd()}"]) if r.random() < 0.7 else pick_([f"The {pick_(first).title()} {pick_(thing).title()}"] * 2 + [f"{pick_(first).title()} {pick_(thing).title()}"] * 3 + [f"{pick_(first).title()} {pick_(thing).title()} No. {r.randint(1, 40)}", f"{pick_(thing).title()} of {cap()}", f"{pick_(first).title()} {pick_(first).title()} {pick_(thing).title()}", f"{pick_(thing).title()} and {pick_(thing).title()}"])
+    firm = lambda: f"{pick_([cap(), cap(), pick_(OTHER_FAMILY).title(), pick_(GIVEN).title()])} {pick_('Records;Music Publishing;Theatre Company;Rights Management;Agency;Council;Sound Library;Media;Entertainment;Editions;Songs;Insurance;Repertoire House;Bank;University;Hospital;Airlines;Clearing House;Motors;Consulting;Society;Production Music;GmbH;Ltd;Association'.split(';'))}"
+    place = lambda: pick_([f"{pick_('North South East West New Lake Mount Port Upper Saint Great'.split())} {cap()}", f"{cap()} {pick_('Valley Bay Island Hills Beach Park Square Road Avenue Castle County'.split())}", *([f"{cap()} {cap()} Hills"] * 3), pick_("New York;San Francisco;Hong Kong;Los Angeles;Buenos Aires;North Carolina;Great Britain;Costa Rica;Cape Town;São Paulo;Sri Lanka".split(";"))])
+    nouns = lambda: pick_("Kleine Beträge;Neue Regeln;Offene Posten;Gute Fahrt;Erste Hilfe;Große Säle;Der Ausschuss;Die Sitzung;Freie Plätze;Les Recettes;La Commission;Conseil Général;Société Nationale;Junta Directiva;Consejo Nacional;Obras Completas".split(";"))
+    part = lambda: pick_("Kopie Liste Partitur Dauer Ausgabe Aufnahme Probe Titel Copie Liste Prix Partition Durée Édition Lista Copia Partitura Edición Duración".split())
+    code = lambda: pick_([f"T-{digits(3)}.{digits(3)}.{digits(3)}-{digits(1)}", f"{upper(2)}-{upper(1)}{digits(1)}{upper(1)}-{digits(2)}-{digits(5)}", f"{digits(2)}-{digits(3)}-{pick_(['19', '20'])}{digits(2)}-{digits(3)}", f"{digits(3)}-{pick_(['19', '20'])}{digits(2)}", f"{r.randint(1, 400)}-{pick_(['19', '20'])}{digits(2)}-{r.randint(1, 400)}", f"{r.randint(1, 400)}.{r.randint(1, 400)}.{r.randint(0, 9)}", f"4.{digits(3)}.{digits(3)}", f"{upper(3)}{digits(8)}", f"{digits(4)}-{digits(2)}-{digits(2)}"])
 
     def name() -> str:
-        g, s = pick_(GIVEN).capitalize(), cap() + (f"-{cap()}" if r.random() < 0.15 else "")
-        mid = pick_([f" {upper(1)}.", "", "", "", "", "", f" {pick_(PARTICLES)}", ""])
-        full = pick_([f"{g}{mid} {s}"] * 8 + [f"{s}, {g}"] * 2 + [f"{s.upper()} {g}", f"{upper(1)}. {s}", f"{upper(1)}. {s}", f"{s}, {g} {upper(1)}."])
         x = r.random()
-        return full.upper() if x < 0.12 else full.lower() if x < 0.18 and "." not in full else full
+        g = (pick_(GIVEN) if x < 0.6 else pick_(OTHER_GIVEN) if x < 0.85 else word()).capitalize()
+        s = (cap() if r.random() < 0.7 else "-".join(v.capitalize() for v in pick_(OTHER_FAMILY).split("-"))) + (f"-{cap()}" if r.random() < 0.12 else "")
+        mid = pick_([f" {upper(1)}."] * 2 + [""] * 6 + [f" {pick_(PARTICLES)}"] * 2)
+        full = pick_([f"{g}{mid} {s}"] * 9 + [f"{s}, {g}"] * 2 + [f"{s.upper()} {g}", f"{upper(1)}. {s}", f"{upper(1)}. {s}", f"{upper(1)}. {upper(1)}. {s}", f"{s}, {g} {upper(1)}.", f"{g}\u00a0{s}"])
+        x = r.random()
+        return full.upper() if x < 0.12 else full.lower() if x < 0.2 and "." not in full else full
 
     def mail() -> str:
-        host = f"{word()}{pick_(['', '-music', 'mail', '.mail'])}"
-        tld, local = pick_("example test invalid".split()), pick_([f"{word()}{digits(2)}", f"{word()}.{word()}", f"{pick_('abcdef')}_{word()}", f"{word()}+{pick_(['news', 'kb', 'apply'])}"])
+        host = f"{word()}{pick_(['', '-music', 'mail', '.mail', '.co', '-' + word()])}"
+        tld, local = pick_("example test invalid com org net de fr es".split()), pick_([f"{word()}{digits(2)}", f"{word()}.{word()}", f"{pick_('abcdef')}_{word()}", f"{word()}+{pick_(['news', 'kb', 'apply'])}", word()])
         m = pick_([f"{local}@{host}.{tld}"] * 4 + [f"{local}＠{host}.{tld}", f"{local} @ {host}.{tld}", f"{local} (at) {host} (dot) {tld}", f"{local}[at]{host}.{tld}", f"{local} AT {host} DOT {tld}", f"{local} at {host} dot {tld}"])
         return m.upper() if r.random() < 0.05 else m
 
     def phone() -> str:
         wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in s)
         small = lambda: pick_(DIGITS[:10])
-        p = pick_([f"+61 2 5550 {digits(4)}", f"(02) 5550 {digits(4)}", f"02 5550{digits(4)}", f"0491 570 {digits(3)}", f"(212) 555-01{digits(2)}", f"+1 646 555 01{digits(2)}", f"212.555.01{digits(2)}", f"555-01{digits(2)}", f"01632 960 {digits(3)}", f"+44 1632 960{digits(3)}", f"+34 900 55{digits(4)}", f"900-55-{digits(4)}", f"900 55 {digits(2)} {digits(2)}",
-                  f"+49 30 23125{digits(3)}", f"0049 30/23125 {digits(3)}", f"(030) 23125-{digits(3)}", f"030 23125 {digits(3)}", f"+33 1 99 00 {digits(2)} {digits(2)}", f"01 99 00 {digits(2)} {digits(2)}", f"01.99.00.{digits(2)}.{digits(2)}", f"+33 199 00{digits(4)}", f"five five five, {small()} {small()} {small()} {small()}", wide("02 5550") + f" {digits(4)}", f"1-800-555-01{digits(2)}"])
-        return p + (pick_([" ext. ", " ext ", " x"]) + digits(2) if r.random() < 0.08 and p[0] in "+(012" else "")
+        sep = pick_([" ", " ", "-", ".", ""])
+        p = pick_([f"+61 2 5550 {digits(4)}", f"(02) 5550 {digits(4)}", f"0{digits(1)} {digits(4)}{digits(4)}", f"04{digits(2)} {digits(3)} {digits(3)}", f"({digits(3)}) 555-{digits(4)}", f"+1{sep}{digits(3)}{sep}555{sep}{digits(4)}", f"{digits(3)}.555.{digits(4)}", f"555-{digits(4)}", f"0{digits(4)} {digits(3)} {digits(3)}", f"+44 {digits(4)} {digits(6)}", f"+34 9{digits(2)} {digits(6)}", f"9{digits(2)}-{digits(2)}-{digits(4)}", f"9{digits(2)} {digits(2)} {digits(2)} {digits(2)}",
+                  f"+49 {digits(2)} {digits(8)}", f"00{digits(2)} {digits(2)}/{digits(5)} {digits(3)}", f"(0{digits(2)}) {digits(5)}-{digits(3)}", f"0{digits(2)} {digits(5)} {digits(3)}", f"+33 {digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(1)}.{digits(2)}.{digits(2)}.{digits(2)}.{digits(2)}", f"0{digits(1)}{digits(2)} {digits(6)}", f"+33 {digits(3)} {digits(6)}", f"{small()} {small()} {small()}, {small()} {small()} {small()} {small()}", wide(f"0{digits(1)} {digits(4)}") + f" {digits(4)}", f"1-800-555-{digits(4)}", f"+{digits(2)} {digits(2)} {digits(3)} {digits(4)}"])
+        return p + (pick_([" ext. ", " ext ", " x"]) + digits(r.randint(1, 3)) if r.random() < 0.12 and p[0] in "+(012" else "")
 
     def number() -> str:
-        return pick_([f"P{upper(1)}{digits(7)}", f"9{digits(2)} 00 {digits(4)}", f"9{digits(2)}-00-{digits(4)}", f"000 {digits(3)} {digits(3)}", f"QQ {digits(2)} {digits(2)} {digits(2)} {pick_('ABCDZ')}", f"0000-{digits(4)}-{digits(4)}", f"00 {digits(3)} {digits(3)} {digits(3)}", f"X000{digits(5)}", f"{pick_('XYZ')}00{digits(5)}{upper(1)}", f"00{digits(6)}-{upper(1)}", f"00{digits(6)}{upper(1)}",
-                      f"9 {digits(2)} 13 {digits(2)} 000 {digits(3)} {digits(2)}", f"9{digits(2)}13{digits(2)}000{digits(3)}{digits(2)}"[: 13], f"9{digits(2)}13{digits(2)}000{digits(3)}"])
+        return pick_([f"{upper(2)}{digits(7)}", f"{upper(1)}{digits(8)}", f"9{digits(2)} {digits(2)} {digits(4)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{upper(2)} {digits(2)} {digits(2)} {digits(2)} {pick_('ABCDZ')}", f"{digits(4)}-{digits(4)}-{digits(4)}", f"{digits(2)} {digits(3)} {digits(3)} {digits(3)}", f"{upper(1)}{digits(3)}{digits(5)}", f"{pick_('XYZ')}{digits(7)}{upper(1)}", f"{digits(8)}-{upper(1)}", f"{digits(8)}{upper(1)}",
+                      f"{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(3)} {digits(3)} {digits(2)}", digits(13), digits(11)])
 
     def address(lang: str) -> str:
         town = cap() + pick_("ville stadt ford mouth dale haven burg".split())
@@ -417,24 +600,24 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 5) -> list[tuple[str, list[
             return f"{cap()}{pick_(['straße', 'str.', 'gasse', 'weg', 'platz'])} {r.randint(1, 220)}{pick_(['', 'a'])}{pick_([', ', ' in '])}{zip_} {town}"
         return f"{pick_(['Calle', 'C/', 'Avenida', 'Plaza', 'Paseo'])} {pick_(['de ', ''])}{cap()}{pick_([',', ''])} {r.randint(1, 200)}{pick_(['', ', 3º B'])}, {zip_} {town}"
 
-    title = lambda: pick_(["", "", "", "Dr ", "Mrs ", "Prof. ", "Mr "])
-    carriers = [  # N name, M mail, P phone, I number, A address (language), W work, F firm, C code
-        "Call me back at {P}, thanks, {N}.", "Contact {N} on {P} or write to {M}.", "Please send the form to {Aen}.", "Signed by {N}, resident at {Aen}.", "{T}{N} moved to {Aen} last spring.", "According to {N}, the split was agreed by phone ({P}).", "The share belongs to {N} alone.", "We checked passport {I} for {N} during the visit.", "The claimant gave TFN: {I} and the number {P}.", "The claimant gave her national ID is {I} and the number {P}.",
-        "mobile {P}; office {P}; driver licence {I}", "mobile {P}; office {P}; social security no. {I}", "Attendance: {N}; {N}; {N}.", "From: {N} <{M}>", "Mail: {M} / Tel: {P}", "[write to us](mailto:{M})", "Forward queries to {M}.", "Tax file number {I}, holder {N}.", "National insurance number {I} belongs to {T}{N}.", "Dear {T}{N}, your statement is ready.",
-        "Dossier signé par {N}, carte d'identité n° {I}.", "Dossier signé par {N}, NIR {I}.", "Dossier signé par {N}, numéro de sécurité sociale {I}.", "Domicile : {Afr}.", "La part revient à {N}.", "Écrivez à {M}.", "Rappelez {N} au {P}.", "Appelez le {P} avant midi.",
-        "Unterlagen von {N} mit Personalausweis {I} liegen vor.", "Unterlagen von {N} mit Steuer-ID {I} liegen vor.", "Unterlagen von {N} mit Ausweisnummer {I} liegen vor.", "Ansprechperson ist {N}, Telefon {P}.", "Anschrift: {Ade}.", "Schreiben Sie an {M}.", "Der Anteil gehört {N}.",
-        "Solicitud de {N} con DNI {I}.", "Solicitud de {N} con NIE {I}.", "Llame a {N} al {P}.", "Domicilio: {Aes}.", "Escriba a {M}.", "La parte es de {N}.",
-        "Invoice {C} was settled for {d},{d}.{d} credits.", "Batch {C} was closed without remarks.", "Release {C} adds a filter for {F}.", "The code {C} belongs to {W} and never changes.", "The arrangement of {W} is registered under {C}.", "Session notes: tempo {d}, stems stored as {C}.", "{F} and {F} signed an agreement covering {c}.", "Handles such as {c}@stage are shown without a link.", "Follow @{c}notes for updates.",
-        "The {c} Road festival lists {d} acts, among them {W}.", "Street musicians on the {c} Avenue stage played {W}.", "Draft {C} quotes {W} twice and {W} once.", "{c} and {c} appear in the registry of {c} with {d} entries.", "You can open a query with {F} until the end of May.", "La facture {C} a été réglée pour {d} {d} crédits.", "Rechnung {C} wurde mit {d} Credits beglichen.", "La factura {C} se pagó con {d} créditos.",
-        "The {g} {c} Quartet played {W}.", "{g} {c} Records and {F} share a desk.", "{g} and {g} is a work from {c}.", "In {y} a potter called {c} guarded every roster at {c}.", "Print rights for {W} revert to {F} after {d} years.", "Amounts under {d} credits move on.", "The catalogue lists {d} versions of {W}, of which {d} are instrumental.", "Order {d}{d} contains {d} copies of {W} by {F}.", "[{t}] speaker 1: Cue sheets for {W} are due {d} days after the broadcast.",
+    carriers = [  # N name, M mail, P phone, I number, A address (language), W work, F firm, L place, C code, T title, S German and French nouns
+        "{N} can be reached under {P}.", "phone me at {P}, or write", "my number is {P}", "{I} (passport), number {P}", "TFN {I} and the office number {P}", "licence card {I}, the number to ring is {P}", "on {P} or under {M}", "for {c}, {c} kept one {v}", "{c}, {c} and {c} left", "ring {N} at {P}, please", "Questions? Ring {P} or mail {M}!", "The parcel goes to {T}{N}, {Aen}.", "Undersigned: {N}, living in {Aen}", "{T}{N} has lived at {Aen} since {y}.", "As {T}{N} told us ({P}), nothing is owed.", "Half of it is owned by {N} and a quarter by {N}.", "Passport no. {I}, issued to {N}", "His tax number is {I}, hers {I}.", "social security: {I}", "Her ID card {I} was shown at the desk.",
+        "home {P}, work {P}, fax {P}", "Present: {N}, {N}, {N}", "Guests: {N}; {N}", "Sender: {N} <{M}>", "E-mail {M} | Phone {P}", "<a href=mailto:{M}>mail</a>", "Please ask {M} about it.", "TFN {I} ({T}{N})", "NI number {I}", "Hello {T}{N}, your form has arrived.", "Thank you, {N}", "Kind regards\n{N}\n{P}", "written by {N} in {y}", "{T}{N} and {T}{N} agreed.", "{N} joined {F} in {y}.", "{N} wrote {W} for {F}.", "interview with {N}, {d} pages", "name: {N}, birth year {y}", "Licence holder {N}, licence number {I}.",
+        "Pièce d'identité {I} au nom de {N}", "Madame, Monsieur {N} habite {Afr}.", "Adresse : {Afr}", "Passeport {I}, titulaire {N}", "Sécurité sociale n° {I}", "Tél. {P} ou courriel {M}", "Lettre de {N} à {N}", "Votre contact : {N}, {P}",
+        "Ausweis {I}, Inhaber {N}", "Die Steuernummer von {N} lautet {I}.", "Reisepass {I} wurde {N} ausgestellt.", "Herr {N} wohnt in der {Ade}.", "Adresse: {Ade}", "Rufen Sie {N} an: {P}", "E-Mail bitte an {M}", "Gezeichnet {N}", "Frau {N} bekommt die Hälfte.",
+        "Pasaporte {I} a nombre de {N}", "El NIF de {N} es {I}.", "Vive en {Aes}.", "Dirección: {Aes}", "Teléfono {P}, correo {M}", "Firmado: {N}", "Señora {N} cobra la mitad.", "carta de {N} a {N}", "teléfono de {N}: {P}", "puede llamar al {P}", "joindre {N} au {P}", "unter {P} zu erreichen",
+        "Bill {C} came to {d}.{d} euros.", "See ticket {C} and order {C}.", "Version {C} mends an error of {F}.", "The work code {C} is that of {W}.", "Recording {C}: {W}, stored in {L}", "tempo {d}, take {C}, reel {d}", "{F} merged with {F} in {L}.", "Find us as {c}@{c} or @{c} on the net.", "{W} opened in {L} on {d} May {y}.", "{W} was heard in {L}.", "{L} hosts {d} bands a year.", "From {L} to {L} it takes {d} hours.", "Between {y} and {y} {F} sold {d} copies of {W}.", "Facture {C} du {d} mai", "Rechnung {C} über {d} Euro", "Pedido {C} de {d} copias", "{S} bei {F} in {L}", "{K} von {W}", "{d} {K} von {W}", "{K} de {W}", "{K} de {W} à {L}", "L'{v} de {W}", "{d} {K} de {W}, davon {d} neu", "{W} and {W} have one {v}.", "{W}, then {W}", "quotes {W} and {W}", "{v} of {W}", "{W} is {v}", "{W} ist {d}", "a {v} of {c} {w} {d} {v}s and {c} {w} it", "{c} the {w} {v} {w} a {v} near {c}", "gehört zu {W}",  "{W} en {L}", "{S} und {S}", "{S}: {d}", "{W} et {S} à {L}", "{S} de {L}", "{W} de {F}",
+        "The {g} {c} Band plays {W}.", "{g} {c} Ltd and {F} rent a hall.", "{g} and {g} is an opera.", "a song named {g} by {F}", "In {y} a painter called {c} left {c}.", "Rights in {W} go back to {F} in {d} months.", "less than {d} euros are kept", "{d} of {d} versions of {W} have no words", "{d}{d} copies of {W}", "({t}) host: {W} is next", "# {W}\n\n{W} by {F}", "## {S}\n{W}", "Visit {L} or {L} with {F}.", "contact: {w} office team", "signed by all members", "written by hand in {y}", "name: {w} {v}", "by {F} and {F}", "by {W}", "from {L} with {W}", "with {F}: {W}; {W}; {L}", "{W}; {W}; {F}", "for {W} and {F}", "Dear {v}, dear guests", "Chief Executive of {F}", "{F} v. {F}", "Contact {F} in {L}.", "Thanks to {F}, {W} returns.", "according to {F}", "Signed by {F}", "{c}, {L}", "{c} and {c} of {L}", "in {c}, {W}", "Code {C} stands for {W}, code {C} for {W}.", "catalogue {C} of {F}",
     ]
+    title = lambda: pick_(["", "", "", "", "Dr ", "Mrs ", "Prof. ", "Mr ", "Ms "])
     makers = {"N": ("NAME", name), "M": ("EMAIL", mail), "P": ("PHONE", phone), "I": ("ID_NUMBER", number), "Aen": ("ADDRESS", lambda: address("en")), "Afr": ("ADDRESS", lambda: address("fr")), "Ade": ("ADDRESS", lambda: address("de")), "Aes": ("ADDRESS", lambda: address("es"))}
-    plain = {"W": work, "F": firm, "C": code, "T": title, "c": cap, "d": lambda: str(r.randint(2, 999)), "g": lambda: pick_(GIVEN).capitalize(), "y": lambda: f"{pick_(['18', '19', '20'])}{digits(2)}", "t": lambda: f"{digits(2)}:{digits(2)}"}
+    plain = {"W": work, "F": firm, "L": place, "C": code, "T": title, "S": nouns, "K": part, "c": cap, "w": lambda: pick_(first), "v": lambda: pick_(thing), "d": lambda: str(r.randint(2, 999)), "g": lambda: pick_(GIVEN).capitalize(), "y": lambda: f"{pick_(['18', '19', '20'])}{digits(2)}", "t": lambda: f"{digits(2)}:{digits(2)}"}
     lines = []
     for k in range(n):
-        template, out, gold = carriers[k % len(carriers)], "", []
-        prefix = pick_(["", "", "", "- ", "* ", "3. ", "A: ", "> "])
-        out = prefix
+        template, gold = carriers[k % len(carriers)], []
+        if k % 3 == 0:
+            template += pick_([" ", "\n", " "]) + pick_(carriers)
+        out = pick_(["", "", "", "- ", "* ", "3. ", "A: ", "> ", "<p>"])
         for piece in re.split(r"(\{\w+\})", template):
             key = piece[1:-1] if piece[:1] == "{" else None
             if key in makers:
@@ -444,27 +627,28 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 5) -> list[tuple[str, list[
                 out += s
             else:
                 out += plain[key]() if key in plain else piece
-        lines.append((out + pick_(["", " " + carriers[-1].replace("{W}", work()).replace("{d}", "7").replace("{t}", "10:10"), "\nThe panel may add 12 percent."]), gold))
+        lines.append((out.upper() if r.random() < 0.1 and len(out.upper()) == len(out) else out, gold))
     return lines
 
 
 @lru_cache(1)
-def trained_weights() -> dict[str, float]:
-    return {f: round(w, 3) for f, w in train(training_lines()).items() if abs(w) >= 0.01}
+def trained_weights() -> Weights:
+    words = lexicon()
+    return {k: {f: round(w, 3) for f, w in own.items() if abs(w) >= 0.01} for k, own in train(training_lines(words=words), words=words).items()}
 
 
-def find(text: str | None, weights: dict[str, float]) -> list[tuple[int, int, str]]:
-    return decode(Text(text), weights) if text else []
+def find(text: str | None, weights: Weights, words: Lexicon | None = None) -> list[tuple[int, int, str]]:
+    return decode(Text(text, words or lexicon()), weights) if text else []
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, begin, end (characters), pii_type, found_text. Null, empty and blank texts have none."""
     docs = spread(pick(docs, id_col, text_col).filter(F.col(text_col).isNotNull()))
-    weights = docs.sparkSession.sparkContext.broadcast(trained_weights())
+    model = docs.sparkSession.sparkContext.broadcast((trained_weights(), lexicon()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(key, x, y, kind, text[x:y]) for key, text in zip(b[id_col], b[text_col]) for x, y, kind in find(text, weights.value)]
+            rows = [(key, x, y, kind, text[x:y]) for key, text in zip(b[id_col], b[text_col]) for x, y, kind in find(text, *model.value)]
             yield pd.DataFrame(rows, columns=[id_col, "begin", "end", "pii_type", "found_text"])
 
     return docs.mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, begin int, end int, pii_type string, found_text string")
@@ -473,10 +657,10 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and text with typed placeholders such as [NAME] in place of personal information; null stays null."""
     docs = spread(pick(docs, id_col, text_col))
-    weights = docs.sparkSession.sparkContext.broadcast(trained_weights())
+    model = docs.sparkSession.sparkContext.broadcast((trained_weights(), lexicon()))
 
     def one(text: str | None) -> str | None:
-        for a, b, kind in reversed(find(text, weights.value)):
+        for a, b, kind in reversed(find(text, *model.value)):
             text = f"{text[:a]}[{kind}]{text[b:]}"
         return text
 
@@ -487,6 +671,17 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.mapInPandas(run, docs.schema)
 
 
+def over_bound(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """n_texts, n_over: texts, and spans that were proposed but are longer than SEGMENT and so no segment."""
+    docs = spread(pick(docs, text_col).filter(F.col(text_col).isNotNull()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"n_texts": [len(b)], "n_over": [sum(Text(t).over for t in b[text_col])]})
+
+    return docs.mapInPandas(run, "n_texts long, n_over long").agg(F.coalesce(F.sum("n_texts"), F.lit(0)).alias("n_texts"), F.coalesce(F.sum("n_over"), F.lit(0)).alias("n_over"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pii_type, found_text."""
     return pii_spans(table(spark, sf_dir, "documents")).select("doc_id", "pii_type", "found_text").distinct()
@@ -497,5 +692,10 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(table(spark, sf_dir, "documents"))
 
 
+def p8_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_texts, n_over."""
+    return over_bound(table(spark, sf_dir, "documents"))
+
+
 SQL: dict[str, str] = {}
-QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p8_found": p8_found, "p8_redacted": p8_redacted, "p8_bound": p8_bound}
