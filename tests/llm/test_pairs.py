@@ -80,3 +80,24 @@ def test_long_and_repeated_copies(spark):
     other = [w + "x" if i % 3 == 0 else w for i, w in enumerate(long)]
     rows = [(" ".join(long), " ".join(changed) + "."), *((short, ". ".join([short] * n) + ".") for n in (3, 6, 40)), (" ".join(long), " ".join(other) + ".")]
     assert found(spark, rows) == {0: "copy", 1: "copy", 2: "copy", 3: "copy"}
+
+
+#: Refusals that no template was written for, and sound sentences near them.
+HELD_OUT_REFUSALS = [
+    "Regrettably, I am not allowed to discuss that matter.", "We're unable to respond to that.", "I'd rather not say.", "That is beyond what I am permitted to share.", "I'm afraid I do not have any information on that.", "My guidelines prevent me from answering.", "As an AI model I cannot speculate about it.",
+    "Je ne suis malheureusement pas autorisée à en discuter.", "Il nous est impossible de vous renseigner.", "Je n'ai aucune information à ce propos.", "Dazu darf ich mich nicht äußern.", "Ich habe hierzu keine Daten.", "Das liegt außerhalb meiner Zuständigkeit.", "No podemos darle una respuesta.", "Prefiero no hablar de ello.", "No tengo datos sobre eso.", "Non possiamo aiutarla.", "Não posso comentar isso.",
+    "I must decline this one.", "Ask me something easier, please.",
+]
+SOUND_NEAR_THEM = ["We cannot accept forms after May.", "Members may not provide a second address.", "I joined in May. The registry answers within two days.", "The society has no office in Zephira.", "You cannot answer for another writer.", "Nothing is owed below 20 credits.", "Ich habe keine Schulden bei dem Verband.", "La société ne paie pas les avances.", "No hay tarifa para escuelas."]
+
+
+def test_held_out_refusals():
+    got = [P.refusal_score(x) >= P.REFUSAL_SHARE for x in HELD_OUT_REFUSALS]
+    print("recall of held-out refusals", sum(got) / len(got))
+    assert sum(got) >= 0.8 * len(got)
+    assert [x for x in SOUND_NEAR_THEM if P.refusal_score(x) >= P.REFUSAL_SHARE] == []
+
+
+def test_a_refusal_counts_wherever_it_stands():
+    polite = "Hello and thank you. You asked about this. I understand. I am sorry. We know it is important to you. Thanks again. "
+    assert P.refusal_score(polite * 5 + "I cannot answer this.") >= P.REFUSAL_SHARE

@@ -2,12 +2,14 @@
 
 Prompt and response are compared by the containment of word shingles; where enough is shared their longest common
 subsequence decides whether anything but the prompt is left. Responses with a cue word are aligned with refusal
-templates, sentence by sentence, again by longest common subsequence; `*` in a template stands for any words. The
+templates, sentence by sentence, again by longest common subsequence; a template is a row of slots (who, cannot,
+reply, ...) that words of several languages fill, so no wording is listed. The
 rest is plain column expressions. A pair has one defect at most, the first that holds in the order above."""
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,20 +37,51 @@ LANGUAGE_NAMES = {
     "es": "spanish|espagnol|spanisch|spanische|español|espanol|castellano|castilian",
 }
 
-# fixed values: refusals, in small letters without punctuation; * stands for any words
+# fixed values: words that fill a slot of a refusal template, in several languages; * stands for any ending
+SLOTS = {
+    "SELF": "i i'm i've i'd i'll me my myself we we're our us je j moi me m mon ma mes nous notre nos ich mir mich mein* wir uns unser* yo mi mis nos nuestr* io mio eu meu minha ik mij mijn wij ja mnie",
+    "ONE": "i i'm i've i'd je j ich mir yo ik",
+    "ME": "me m mir uns nos mi",
+    "NEG": "not no never nothing none nor don't doesn't didn't isn't aren't can't won't haven't ain't ne n pas aucun aucune rien jamais non nicht nichts kein* nie niemals nada ningun* ningún sin não nao nem niet geen niets nie",
+    "CANNOT": "cannot can't couldn't unable incapable impossible won't impossible incapable unmöglich außerstande ausserstande imposible incapaz impossibile impossível onmogelijk",
+    "ABLE": "right droit recht derecho able allowed permitted authorised authorized comfortable willing position qualified equipped supposed prepared designed trained meant free could can peux puis pouvons pourrai pourrais mesure autorisé autorisée habilité habilitée kann können könnte darf dürfen möchte möchten lage möglich befugt berechtigt posible permite permitido permiten possible kan mag possibile possível",
+    "CAN1": "puedo podemos podría podré posso possiamo potrei mogę możemy poderia",
+    "REPLY": "said told get getting into advice opinion answer* help* assist* provid* discuss* comment* shar* respond* reply* replies say* tell* speak* talk* address* advis* guess* speculat* comply* disclos* go going répond* réponse aider aide fourni* donner dire traiter comment* discuter communiquer parler renseigner beantwort* antwort* helfen weiterhelfen auskunft auskünfte sagen besprechen sprechen äußern mitteilen geben respond* respuesta* ayudar* decir* tratar* comentar* hablar* facilitar* dar risponder* aiutar* ajudar* beantwoorden helpen odpowied* pomóc",
+    "KNOW": "know knowledge clue idea sais connais weiß weiss ahnung sé conozco",
+    "HAVE": "have has had got possess hold ai avons dispose disposons habe haben hätte liegen liegt vor",
+    "HAVE1": "tengo tenemos dispongo disponemos cuento tenho temos dispongo ho",
+    "SOURCE": "information info evidence data document* passage* source* excerpt* extract* context material* record* basis details element* éléments extraits données unterlagen daten auszüge* auszug quelle* angaben informationen información datos fragmento* fuente* extracto* informazion* dati informaç* dados informati* gegevens informacji",
+    "SAYS": "mention* contain* say* cover* include* address* describe* disent mentionne* contien* parlent steht stehen enthalten enthält erwähn* dicen mencion* habla*",
+    "LACK": "lack* missing insufficient fehlen fehlt manque* faltan falta carezco",
+    "HARD": "avoid* decline* declin* refuse* refus* abstain* refrain* lehne ablehnen verzichte* rechazo rechazamos weiger*",
+    "SOFT": "rather prefer* préfér* préfère préférons lieber möchte prefier* prefer*",
+    "SOFT1": "prefiero preferimos preferisco prefiro wolę",
+    "BEYOND": "outside beyond exceed* out sort sortent dépass* hors außerhalb ausserhalb übersteig* fuera excede* fuori fora buiten poza",
+    "SCOPE": "scope remit permitted allowed limit* guideline* rules policy policies instruct* competen* role area domain expertise capabilit* autorisé* cadre compétence* domaine rahmen befugnis* zuständig* aufgabe* permit* permite* ámbito competencia* límites alcance bereich wissens*",
+    "KEEP": "keep* prevent* stop* forbid* prohibit* bar bars empêche* interdi* hinder* verbiet* untersag* impide* prohíbe* prohibe*",
+    "POSSIBLE": "possible possibles given made offered möglich gegeben posible posibles",
+    "OPEN": "open unanswered offen unbeantwortet ouverte abierta",
+    "IRRESPONSIBLE": "irresponsible inappropriate wrong unwise improper imprudent inapproprié unangemessen inapropiado irresponsable verantwortungslos unverantwortlich",
+    "THING": "something topic subject question matter area point sujet question thème thema frage etwas tema asunto",
+    "TALK": "talk speak move discuss chat turn parlons reden sprechen hablemos parliamo",
+    "ELSE": "else another different autre anderes andere otra otro altro",
+    "FIND": "find found locate trouve trouver trouvé finde finden gefunden encuentro encontrar encontré",
+    "WAY": "way means access moyen möglichkeit manera forma",
+    "CAN": "can could kann kann peut puede",
+    "HERE": "here this that hier dazu darüber ici ça cela aquí esto eso",
+    "AI": "ai ki ia assistant bot model modell modèle modelo",
+}
+#: Refusals as rows of slots that a sentence must fill in this order.
 REFUSALS = [
-    "i can't help with that", "i cannot help with this request", "i can't assist with that", "i am unable to assist with this", "i am not able to answer this", "i cannot answer this question", "i'm unable to answer that question", "i can't provide that information", "i cannot provide information on this",
-    "my instructions keep me from going into *", "i was unable to find any evidence on this topic", "i could not find anything on this", "this is something i must decline to discuss", "i must decline to answer", "i won't be able to answer this",
-    "the passages i was given do not mention * so no reply is possible", "the documents provided do not contain *", "questions about * are outside my remit", "this is outside my scope", "it would be irresponsible of me to guess *", "you will have to ask * as this is not something i answer",
-    "let's talk about something else", "i have no way of looking that up", "my sources contain nothing i could base a reply on", "nothing can be said about this from here", "i do not have enough evidence to give an answer", "i don't have enough information to answer", "i'd rather not comment on *", "i prefer not to answer",
-    "answering would go beyond what i am permitted to do", "i am not permitted to discuss this", "i am not allowed to answer that", "i don't know the answer to that", "no answer can be given to this", "as an ai i cannot *",
-    "je ne peux pas répondre à cette demande", "je ne peux pas vous aider", "je ne suis pas en mesure de répondre", "il m'est impossible de traiter ce sujet", "ce point sort de ce que je suis autorisé à dire", "je ne dispose pas d'éléments pour vous répondre", "les extraits fournis ne disent rien de * aucune réponse n'est donc possible", "je préfère ne pas répondre", "je ne trouve rien à ce sujet",
-    "dazu kann ich keine auskunft geben", "ich kann ihnen dabei nicht helfen", "diese frage kann ich nicht beantworten", "dieses thema darf ich nicht besprechen", "mir fehlen die unterlagen für eine antwort", "ist mir eine antwort darauf nicht möglich", "in den auszügen steht nichts über * daher bleibt die frage offen", "dazu liegen mir keine informationen vor", "darüber möchte ich nicht sprechen",
-    "no puedo responder a esa petición", "no puedo ayudarle con eso", "me resulta imposible tratar ese tema", "eso queda fuera de lo que se me permite decir", "los fragmentos no dicen nada de * así que no hay respuesta posible", "no dispongo de datos para responder", "no tengo información sobre este tema", "prefiero no responder",
-    "non posso rispondere a questa domanda", "mi dispiace ma non posso aiutarti", "non dispongo di informazioni su questo argomento", "não posso responder a esta pergunta", "não posso ajudar com esse pedido", "não tenho informações sobre este tema", "ik kan deze vraag niet beantwoorden", "daar kan ik u niet bij helpen", "nie mogę odpowiedzieć na to pytanie", "nie mogę w tym pomóc",
+    "SELF CANNOT REPLY", "CANNOT SELF REPLY", "SELF NEG ABLE REPLY", "SELF ABLE NEG REPLY", "ABLE SELF NEG REPLY", "SELF REPLY NEG ABLE", "NEG CAN1 REPLY", "NEG SELF ABLE REPLY", "BEYOND SELF ABLE REPLY", "BEYOND SELF CAN REPLY", "AI CANNOT REPLY", "AI NEG ABLE REPLY",
+    "SELF HARD REPLY", "SELF SOFT NEG REPLY", "SOFT1 NEG REPLY", "NEG THING SELF REPLY", "IRRESPONSIBLE SELF REPLY", "NEG REPLY POSSIBLE", "NEG REPLY CAN POSSIBLE", "NEG CAN REPLY THING", "NEG CAN REPLY SOURCE", "NEG CAN REPLY HERE",
+    "SOURCE NEG SAYS NEG REPLY", "SOURCE SELF NEG SAYS", "SELF SOURCE SAYS NEG", "SELF SOURCE NEG SAYS", "SOURCE SAYS NEG REPLY", "SOURCE SAYS NEG OPEN", "SOURCE NEG SAYS OPEN",
+    "SELF NEG HAVE SOURCE", "SELF NEG SOURCE REPLY", "SELF HAVE NEG SOURCE", "HAVE SELF NEG SOURCE", "HAVE NEG SELF SOURCE", "LACK ME SOURCE", "ME LACK SOURCE", "ONE LACK SOURCE", "NEG HAVE1 SOURCE", "SELF NEG WAY REPLY", "SELF HAVE NEG WAY",
+    "ONE CANNOT FIND", "ONE NEG FIND", "ONE FIND NEG", "ONE NEG KNOW", "ONE KNOW NEG",
+    "BEYOND SELF SCOPE", "BEYOND SCOPE SELF", "SELF SCOPE KEEP", "SELF SCOPE NEG ABLE", "TALK THING ELSE", "TALK ELSE",
 ]
-#: Share of a template's words that must occur in order in one sentence of the answer.
-REFUSAL_SHARE = 0.8
+#: Share of a template's slots that must be filled in order; words that may stand between two slots, and in all besides.
+REFUSAL_SHARE, SLOT_GAP, SPARE = 0.99, 3, 4
 
 # fixed values: words of greetings, thanks, apologies and of giving a question back
 COURTESY = set(
@@ -82,56 +115,73 @@ def _lcs(a: list[str], b: list[str]) -> int:
     at: dict[str, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return _lcs_masks(at, len(a), b)
+
+
+def _lcs_masks(at: dict[str, int], n: int, b: list[str]) -> int:
+    """at: the places (bits, of n) where each item of b fits."""
+    full = (1 << n) - 1
     v = full
     for x in b:
         u = v & at.get(x, 0)
         v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
-
-
-def template_words(template: str) -> list[str]:
-    return [w for w in words(template.replace("*", " ")) if w]
-
-
-_TEMPLATES = [(t, template_words(t), set(template_words(t))) for t in REFUSALS]
-#: A refusal among so many first sentences counts in any case; a later one if no sentence before it tells something.
-OPENING = 3
+    return n - v.bit_count()
+
+
+_WHOLE: dict[str, set[str]] = {}
+_STEMS: list[tuple[str, str]] = []
+for _slot, _words in SLOTS.items():
+    for _w in _words.split():
+        if _w.endswith("*"):
+            _STEMS.append((_w[:-1], _slot))
+        else:
+            _WHOLE.setdefault(_w, set()).add(_slot)
+_TEMPLATES = [t.split() for t in REFUSALS]
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _QUOTED = re.compile(r"[\"“„«][^\"“”„«»]*[\"”“»]")
 _FUNCTION = {w for v in FUNCTION_WORDS.values() for w in v.split()}
 
 
+@lru_cache(50_000)
+def slots_of(word: str) -> frozenset[str]:
+    """Slots that a word can fill; so can its parts at an apostrophe."""
+    forms = {word, *word.split("'")}
+    return frozenset(s for f in forms for s in _WHOLE.get(f, ())) | frozenset(s for stem, s in _STEMS for f in forms if f.startswith(stem))
+
+
 def template_share(part: str) -> float:
-    """The largest share of a template that a sentence holds in order, without many other words (up to twice the
-    template's own, any number where the template has a *)."""
-    best, tokens = 0.0, words(part)
-    seen = set(tokens)
-    for raw, t, kinds in _TEMPLATES:
-        if "*" not in raw and len(tokens) > 2 * len(t) + 10 or len(kinds & seen) < 0.7 * len(kinds):
+    """The largest share of a template's slots that a stretch of the sentence fills in order (longest common subsequence
+    of slots and words); the stretch has at most SLOT_GAP further words a slot, and SPARE more."""
+    tokens = words(part)
+    fills = [slots_of(w) for w in tokens]
+    there = set().union(*fills) if fills else set()
+    best = 0.0
+    for t in _TEMPLATES:
+        if sum(s in there for s in t) < REFUSAL_SHARE * len(t):
             continue
-        common = lcs(t, tokens)
-        if common >= min(3, len(t)) and common / len(t) > best:
-            best = common / len(t)
+        width = (SLOT_GAP + 1) * len(t) + SPARE
+        for i, f in enumerate(fills):
+            if t[0] in f:
+                at = {s: sum(1 << k for k, g in enumerate(fills[i : i + width]) if s in g) for s in set(t)}
+                best = max(best, _lcs_masks(at, min(width, len(fills) - i), t) / len(t))
+                if best == 1:
+                    return best
     return best
 
 
 def refusal_score(answer: str, prompt: str = "") -> float:
-    """The largest share of a template that a sentence of the answer holds. After the opening, sentences count only
-    while none before them tells something of its own, and what they quote does not count."""
+    """The largest share of a template that a sentence of the answer fills. Every sentence is read; it counts only while
+    none before it tells something of its own, and what it quotes does not count."""
     best = 0.0
     parts = [p for p in _SENTENCE.split(answer) if p.strip()]
     given = {part for w in words(prompt) for part in (w, *w.split("'"))} | COURTESY | _FUNCTION
-    told = False
     for k, part in enumerate(parts):
-        if k >= OPENING and told:
-            break
-        late = k >= OPENING
-        says = [_QUOTED.sub(" ", part) if late else part]
+        says = [_QUOTED.sub(" ", part)]
         if k + 1 < len(parts) and re.search(r"\bNo\.$|\d\.$", part):
-            says.append(_QUOTED.sub(" ", f"{part} {parts[k + 1]}") if late else f"{part} {parts[k + 1]}")
+            says.append(_QUOTED.sub(" ", f"{part} {parts[k + 1]}"))
         best = max(best, *map(template_share, says))
-        told = told or sum(not given.issuperset(w.split("'")) for w in set(words(part))) >= TELLS
+        if best >= REFUSAL_SHARE or sum(not (given.issuperset(w.split("'")) or slots_of(w)) for w in set(words(part))) >= TELLS:
+            break
     return best
 
 
@@ -208,12 +258,13 @@ def is_truncated(answer: Column) -> Column:
     lines = F.filter(F.split(a, r"\n+"), lambda x: F.trim(x) != "")
     is_list = (F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(r"^\s*(?:[-*•]|\d+[.)])\s"))
     stops = F.exists(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(1))), lambda x: x.rlike(r"[.!?;]\s*$"))
-    short = (F.size(word_array(a)) <= 8) & ~a.rlike(r"[.!?]\s") & ~F.regexp_replace(a, r"(?i)\b(?:of|and|the|no\.|percent|per cent|prozent|por ciento|pour cent|credits?|yes|not yet|days?|weeks?)(?=\s|$)", " ").rlike(r"(?:^|[\s(\"])\p{Ll}{2,}")
+    short = (F.size(word_array(a)) <= 8) & ~a.rlike(r"[.!?]\s") & ~F.regexp_replace(a, r"(?i)\b(?:of|and|the|no\.|percent|per cent|prozent|por ciento|pour cent|credits?|euros?|dollars?|pounds?|francs?|pesos?|yes|no|not yet|never|seconds?|minutes?|hours?|days?|weeks?|months?|years?|times?|people|members?|pages?|copies|km|kg)(?=\s|$)", " ").rlike(r"(?:^|[\s(\"])\p{Ll}{2,}")
     one_word = F.size(word_array(a)) <= 2
     return hyphen | dots | (~closed & F.when(is_list, stops).otherwise(~(short | one_word | a.rlike(r"^[\p{Lu}\p{N}]+(?:[-./][\p{Lu}\p{N}]+)+$"))))
 
 
-CUES = r"(?i)\b(?:i|me|my|i['’]\w+|let['’]s|nothing|no (?:answer|reply)|documents provided|je|m['’]\w+|mon|ne|n['’]\w+|extraits|ich|mir|keine|nichts|nicht|puedo|me|permite|dicen|dispongo|tengo|prefiero|non|não|nao|ik|nie)\b"
+#: Without one of these words no template can be filled.
+CUES = r"(?i)(?<!\p{L})(?:" + "|".join(sorted({re.escape(w).replace(r"\*", r"\p{L}*") for k in ("NEG", "CANNOT", "HARD", "BEYOND", "KEEP", "LACK", "ELSE", "IRRESPONSIBLE") for w in SLOTS[k].replace("'", "['’]").split()})) + r")(?!\p{L})"
 
 
 def pair_defects(pairs: DataFrame) -> DataFrame:
