@@ -22,6 +22,7 @@ import random
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from pathlib import Path
 
@@ -125,11 +126,19 @@ _TITLED = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(TITLES)})\.? $")
 _PARTICLE_END = re.compile(rf"(?<!\w)({_PARTICLE}) $")
 _SHOUT = re.compile(rf"{_UP}{{2,}},? $")
 
-#: Words by the vocabularies: common ones, proper ones, capitalised ones of many languages, those of a vocabulary in small letters.
-Lexicon = tuple[frozenset, frozenset, frozenset, frozenset]
-_KINDS: dict[Lexicon, dict[str, str]] = {}
+@dataclass
+class Lexicon:
+    """Words by the vocabularies: common ones, proper ones, capitalised ones of many languages, those of a vocabulary in
+    small letters; kinds of words that were looked up before."""
+
+    common: frozenset = frozenset()
+    proper: frozenset = frozenset()
+    many: frozenset = frozenset()
+    known: frozenset = frozenset()
+    kinds: dict[str, str] = field(default_factory=dict, repr=False, compare=False)
+
+
 _EDGES = ".,;:!?()[]{}<>\"“”„«»|*#>-–"
-NO_WORDS: Lexicon = (frozenset(), frozenset(), frozenset(), frozenset())
 
 
 @lru_cache(1)
@@ -146,7 +155,7 @@ def lexicon(folder: str = VOCABULARIES) -> Lexicon:
     english, many = tokens("byte_bpe_50k.tiktoken"), tokens("byte_bpe_multi_50k.tiktoken")
     small = Path(folder) / "word_bpe_49k.json"
     known = {t[:-4] for t in json.loads(small.read_text())["model"]["vocab"] if t.endswith("</w>") and t[:-4].isalpha() and len(t) > 7} if small.exists() else set()
-    return frozenset(w for w in english | many if w.islower()), frozenset(w for w in english if w.istitle()), frozenset(w for w in many if w.istitle()), frozenset(known)
+    return Lexicon(frozenset(w for w in english | many if w.islower()), frozenset(w for w in english if w.istitle()), frozenset(w for w in many if w.istitle()), frozenset(known))
 
 
 def shape(s: str) -> str:
@@ -156,11 +165,11 @@ def shape(s: str) -> str:
 class Text:
     """A text and the segments that could be personal information; over: how many were too long to be one."""
 
-    def __init__(self, text: str, words: Lexicon = NO_WORDS) -> None:
-        self.text, self.lexicon, self.over = text, words, 0
+    def __init__(self, text: str, words: Lexicon | None = None) -> None:
+        self.text, self.lexicon, self.over = text, words or Lexicon(), 0
+        self._kinds = self.lexicon.kinds
         self.segments: dict[tuple[int, int, str], list[str]] = {}
         self._near: dict[int, tuple] = {}
-        self._kinds = _KINDS.setdefault(words, {}) if words is not NO_WORDS else {}
         self.low = text.lower()
         self.said = {w.strip(_EDGES) for w in self.low.split()}
         self._emails()
@@ -185,8 +194,8 @@ class Text:
         if f in _FUNC or f[:2] in ("l'", "l’"):
             return "F"
         f = f.rsplit("-", 1)[-1]
-        common, proper, many, known = self.lexicon
-        return "C" if f in common else "P" if (t := f.capitalize()) in proper else "N" if t in many else "W" if f in known else "O"
+        x = self.lexicon
+        return "C" if f in x.common else "P" if (t := f.capitalize()) in x.proper else "N" if t in x.many else "W" if f in x.known else "O"
 
     def _before(self, at: int) -> list[str]:
         """Up to four words before a place, nearest first, within the line."""
@@ -498,7 +507,7 @@ def marginals(segs: list[tuple[int, int, float]]) -> tuple[float, list[float]]:
     return z, [math.exp(alpha[at[a]] + s + beta[at[b]] - z) for a, b, s in segs]
 
 
-def train(lines: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = ROUNDS, words: Lexicon = NO_WORDS) -> Weights:
+def train(lines: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = ROUNDS, words: Lexicon = Lexicon()) -> Weights:
     """Weights of greatest likelihood of the labelled lines (text, gold segments), by adaptive gradient steps with a
     small penalty, averaged over the later rounds. A gold segment that no pattern proposes cannot be learned and is left out."""
     weights: Weights = {k: {} for k in TYPES}
@@ -534,7 +543,7 @@ OTHER_GIVEN = "alice kevin susan jennifer kwame ngozi brian karen steven patrici
 OTHER_FAMILY = "johnson smith miller brown taylor wilson davies o'brien murphy mcdonald okafor mensah adeyemi patel sharma nguyen tran kowalski novak horvat rossi bianchi silva santos garcia lopez fernandez schmidt weber fischer dupont moreau lefebvre tanaka suzuki kim park ivanov petrov haddad rahman".split()
 
 
-def training_lines(n: int = TRAIN_LINES, seed: int = 5, words: Lexicon = NO_WORDS) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def training_lines(n: int = TRAIN_LINES, seed: int = 5, words: Lexicon = Lexicon()) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Labelled lines from templates: carriers of personal information in four languages, and lines whose numbers,
     titles, firms, works, places and handles are none. The templates are written for this purpose; four names of ten are
     not in the list of given names."""
@@ -549,8 +558,8 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 5, words: Lexicon = NO_WORD
     cap = lambda: word().capitalize()
     first = "amber silent golden distant hollow frozen scarlet gentle rusty sleepy broken modern famous secret annual general national final open early".split()
     thing = "bridge garden letter signal lantern mirror river harbour orchard window chimney market ledger whistle engine meeting report survey season chapter service committee manager director editor project".split()
-    common, known = sorted(words[0]) or first, sorted(words[3] - _LISTED) or thing
-    many = sorted(w.lower() for w in words[2]) or thing
+    common, known = sorted(words.common) or first, sorted(words.known - _LISTED) or thing
+    many = sorted(w.lower() for w in words.many) or thing
     odd = lambda: pick_(pick_([common, known, known, many])).title()
     work = lambda: pick_([f"{odd()} {odd()}", f"{odd()} {odd()}", f"The {odd()} {odd()}", f"{odd()} of {cap()}", f"{odd()} and {odd()}", f"{cap()} {odd()}", f"{cap()} {odd()}"]) if r.random() < 0.7 else pick_([f"The {pick_(first).title()} {pick_(thing).title()}"] * 2 + [f"{pick_(first).title()} {pick_(thing).title()}"] * 3 + [f"{pick_(first).title()} {pick_(thing).title()} No. {r.randint(1, 40)}", f"{pick_(thing).title()} of {cap()}", f"{pick_(first).title()} {pick_(first).title()} {pick_(thing).title()}", f"{pick_(thing).title()} and {pick_(thing).title()}"])
     firm = lambda: f"{pick_([cap(), cap(), pick_(OTHER_FAMILY).title(), pick_(GIVEN).title()])} {pick_('Records;Music Publishing;Theatre Company;Rights Management;Agency;Council;Sound Library;Media;Entertainment;Editions;Songs;Insurance;Repertoire House;Bank;University;Hospital;Airlines;Clearing House;Motors;Consulting;Society;Production Music;GmbH;Ltd;Association'.split(';'))}"
