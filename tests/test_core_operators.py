@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import pytest
@@ -6,9 +7,13 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions.vectors import cosine, dense_topk
+from weftline.operators import context as C
 from weftline.operators import graph as G
+from weftline.operators import hits as H
 from weftline.operators import ingest as I
+from weftline.operators import merge as M
 from weftline.operators import retrieval as R
+from weftline.operators.skew import hub_join
 from weftline.sources import readers as S
 from weftline.streaming import pipelines as P
 
@@ -36,19 +41,73 @@ def test_fusion_scores_ties_and_provenance(spark):
 def test_bm25_and_boolean_match_on_empty_and_null_texts(spark):
     docs = spark.createDataFrame([("d1", "wave of rain"), ("d2", None), ("d3", ""), ("d4", "rain rain wave sun")], "id string, text string")
     q = spark.createDataFrame([(1, "Rain wave"), (2, ""), (3, None), (4, "snow")], "qid int, query string")
-    post = R.postings(docs.withColumn("tf", F.lit(0)).withColumn("dl", F.lit("x")), "id", "text")
-    assert sorted((r["qid"], r["id"]) for r in R.and_match(q, post).collect()) == [(1, "d1"), (1, "d4")]
-    assert {(r["qid"], r["id"]) for r in R.bm25(q, post).collect()} == {(1, "d1"), (1, "d4")}
-
-
-def test_cosine_and_topk_in_blocks(spark):
+    docs = docs.withColumn("tf", F.lit(0)).withColumn("dl", F.lit("x")).withColumn("title", F.lit("sun"))
+    assert sorted((r["qid"], r["id"]) for r in R.and_match(q, docs, "id", "text").collect()) == [(1, "d1"), (1, "d4")]
+    assert {(r["qid"], r["id"]) for r in R.bm25(q, docs, "id", {"text": 1.0}).collect()} == {(1, "d1"), (1, "d4")}
+    assert R.and_match(q.limit(0), docs, "id", "text").count() == 0 and R.bm25(q, docs.limit(0), "id", {"text": 1.0}).count() == 0
+    among = spark.createDataFrame([("d4",)], "id string")
+    assert [r["id"] for r in R.bm25(q, docs, "id", {"text": 1.0}, among=among).collect()] == ["d4"]
+
+
+def test_bm25_takes_the_best_field(spark, monkeypatch):
+    from weftline.functions import vectors as V
+
+    rnd = random.Random(5)
+    words = "rain wave sun moon star sea".split()
+    rows = [(f"d{i:02d}", " ".join(rnd.choices(words, k=rnd.randint(0, 9))), " ".join(rnd.choices(words, k=rnd.randint(0, 3)))) for i in range(30)]
+    qs = [(i, " ".join(rnd.sample(words, rnd.randint(1, 3)))) for i in range(8)]
+
+    def slow(k):
+        out = {}
+        for qid, q in qs:
+            scores = []
+            for d in rows:
+                best = 0.0
+                for f, boost in ((1, 3.0), (2, 2.0)):
+                    texts = [r[f].split() for r in rows if r[f]]
+                    avg = sum(map(len, texts)) / len(texts)
+                    own = d[f].split()
+                    s = 0.0
+                    for t in set(q.split()):
+                        df, tf = sum(t in x for x in texts), own.count(t)
+                        if tf:
+                            s += math.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / avg))
+                    best = max(best, boost * s)
+                if best > 0:
+                    scores.append((-round(best, 6), d[0]))
+            out[qid] = [(i, -s) for s, i in sorted(scores)[:k]]
+        return out
+
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(V, "ROW_BLOCK", 7)
+    docs, q = spark.createDataFrame(rows, "id string, text string, title string"), spark.createDataFrame(qs, "qid int, query string")
+    got = {}
+    for r in R.bm25(q, docs, "id", {"text": 3.0, "title": 2.0}, 5).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["id"], r["score"]))
+    assert got == {k: v for k, v in slow(5).items() if v}
+
+
+def test_cover_density():
+    assert R.cover_density([]) == 0 and R.cover_density([[1], []]) == 0
+    assert R.cover_density([[3, 8]]) == pytest.approx(0.2)  # every occurrence of one term
+    assert R.cover_density([[1], [2]]) == pytest.approx(0.1) and R.cover_density([[1], [5]]) == pytest.approx(0.1 / 4)
+    assert R.cover_density([[1, 10], [2]]) == pytest.approx(0.1 + 0.1 / 8)
+
+
+def test_cosine_and_topk_in_blocks(spark, monkeypatch):
     v = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([1.0, 0.0], [1.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0])], "a array<float>, b array<float>")
     assert [r[0] for r in v.select(cosine(F.col("a"), F.col("b"))).collect()] == [0.0, None, None, None]
     rnd = random.Random(1)
     rows = [(f"r{i:02d}", [rnd.gauss(0, 1) for _ in range(4)]) for i in range(40)]
     df = spark.createDataFrame(rows, "id string, vec array<float>")
     q = df.select(F.col("id").alias("qid"), "vec")
-    a = sorted(tuple(r) for r in dense_topk(q, df, 3, block=7).select("qid", "id", "rank").collect())
+    from weftline.functions import vectors as V
+
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(V, "ROW_BLOCK", 11)
+    a = sorted(tuple(r) for r in dense_topk(q, df, 3).select("qid", "id", "rank").collect())
+    monkeypatch.undo()
+    assert all(r["qid"] != r["id"] for r in dense_topk(q, df, 1, other=True).collect())
     assert a == sorted(tuple(r) for r in dense_topk(q, df, 3).select("qid", "id", "rank").collect()) and len(a) == 120
     assert dense_topk(q.limit(0), df, 3).count() == 0 and dense_topk(q, df.limit(0), 3).count() == 0
 
@@ -103,6 +162,63 @@ def test_communities_split_two_cliques(spark):
     assert len({got[f"a{i}"] for i in range(5)}) == 1 and len({got[f"b{i}"] for i in range(5)}) == 1 and got["a1"] != got["b1"]
 
 
+def test_levels_parents_and_inner_weight(spark):
+    e = [(f"{p}{i}", f"{p}{j}", 2.0) for p in "abc" for i in range(4) for j in range(i + 1, 4)] + [("a0", "b0", 1.5), ("b1", "c1", 0.5)]
+    e = spark.createDataFrame(e, "u string, v string, weight double")
+    levels = G.community_levels(e)
+    rows = {(r["level"], r["community"]): r for r in G.community_table(levels, e).collect()}
+    zero = [r for (level, _), r in rows.items() if level == 0]
+    assert sorted((r["n_members"], r["inner_weight"]) for r in zero) == [(4, 12.0)] * 3 and all((1, r["parent"]) in rows for r in zero)
+    last = max(level for level, _ in rows)
+    assert last == 2 and all(r["parent"] is None for (level, _), r in rows.items() if level == last)
+    assert G.label_communities(e.limit(0)).count() == 0
+
+
+def test_hub_join_equals_a_join(spark):
+    rnd = random.Random(2)
+    big = spark.createDataFrame([(i, "hub" if rnd.random() < 0.4 else None if rnd.random() < 0.1 else f"k{rnd.randint(0, 30)}") for i in range(3000)], "i int, k string")
+    small = spark.createDataFrame([("hub", 1), ("k1", 2), ("k2", 3), ("zz", 4)], "k string, v int")
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, hub_join(big, small, "k", how).select("i", "v").collect()), key=str) == sorted(map(tuple, big.join(small, "k", how).select("i", "v").collect()), key=str)
+    assert hub_join(big.limit(0), small, "k").count() == 0
+
+
+def test_merged_rows(spark):
+    cols = "record_id long, entity_id string, name string, description string, aliases array<string>, confidence double, source_chunk_ids array<string>"
+    rows = [(2, "e", "B", "long text", ["x", None, " "], float("nan"), ["c2", "c1"]), (1, "e", "A", "short", ["y", "x"], 0.5, ["c1"]), (3, "e", "A", "also long", None, 2.0, None)]
+    r = M.merged_entities(spark.createDataFrame(rows, cols), ["entity_id"]).first()
+    assert (r["base"], r["description"], r["confidence"], r["aliases"], r["source_chunk_ids"], r["n_records"]) == ("A", "long text", 0.5, ["x", "y"], ["c1", "c2"], 3)
+    assert M.merged_entities(spark.createDataFrame([], cols), ["entity_id"]).count() == 0
+
+
+def test_mentions_by_name_alias_and_part(spark):
+    q = spark.createDataFrame([(1, "Signal of the Sea"), (2, "who wrote signal of the sea, and when"), (3, "the sea"), (4, None), (5, "")], "qid int, query string")
+    keys = spark.createDataFrame([("e", "signal of the sea", 0), ("f", "who", 1), ("g", "the sea", 1)], "entity_id string, key string, alias int")
+    got = sorted((r["qid"], r["entity_id"], r["distance"]) for r in C.mentions(q, keys).collect())
+    assert got == [(1, "e", 0.0), (1, "g", 0.15), (2, "e", 0.15), (2, "f", 0.15), (2, "g", 0.15), (3, "e", 0.05), (3, "g", 0.02)]
+
+
+def test_json_out_of_prose_and_broken_text(spark):
+    df = spark.createDataFrame([('see ```json\n[{"a": 1}]\n``` ok',), ('x {"a": 1} {"b": [2]} {"c": } [3]',), (None,), ("none",)], "t string")
+    assert [r[0] for r in df.select(T.json_part(F.col("t"))).collect()] == ['[{"a": 1}]', '{"a": 1} {"b": [2]} {"c": }', None, None]
+    assert [r[0] for r in df.select(F.size(T.json_objects(F.col("t")))).collect()][:2] == [1, 2]
+    assert [r[0] for r in df.select(H.json_values("t")).collect()] == [['[{"a": 1}]'], ['{"a": 1}', '{"b": [2]}', "[3]"], None, []]
+
+
+def test_noise_classes_and_clean_chunks(spark):
+    names = ["", None, "x", "They", "every", "Songs", "10:30 am - 11:00", "12.5%", "3rd", "Rain Song"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(T.noise_class(F.col("n"))).collect()] == ["empty", "empty", "single_char", "pronoun", "article", "generic_term", "time_fragment", "pure_number", "ordinal", None]
+    prose = "The fee follows the size of the room. Schools file a shorter form. Writers join when one work was performed in public."
+    df = spark.createDataFrame([(prose, "https://a/x"), (prose, "https://a/search?q=1"), ("Read more " * 12 + "a. b.", None), ("short. text.", None)], "t string, u string")
+    assert [r[0] for r in df.select(T.is_clean(F.col("t"), F.col("u"))).collect()] == [True, False, False, False]
+
+
+def test_text_without_heading_is_one_section(spark):
+    docs = spark.createDataFrame([(1, "# One\nx y"), (2, "no heading here"), (3, "")], "doc_id int, text string")
+    assert sorted((r["doc_id"], r["section_no"], r["anchor"]) for r in I.sections_or_whole(docs, "doc_id", "text").collect()) == [(1, 1, "one"), (2, 0, None), (3, 0, None)]
+
+
 def test_streams_over_several_files_and_repeated_delivery(spark, tmp_path):
     ev = [(i, f"2024-01-0{1 + i % 3} 10:00:00", i % 2, "view", 1.0, None) for i in range(24)]
     df = spark.createDataFrame(ev, "event_id long, t string, user_id long, event_type string, value double, props string").select("event_id", F.col("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,45 +31,57 @@ def finite(v: Column, dim: int) -> Column:
     return v.isNotNull() & (F.size(v) == dim) & (F.size(F.array_compact(v)) == dim) & (top < float("inf")) & (low > float("-inf")) & ~((top == 0) & (low == 0))
 
 
-def dense_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """qid, id, sim, rank: exact cosine top-k of every query by (sim rounded to 6 places, id).
-
-    queries: qid, vec; rows: id, vec, all usable. The queries go out in blocks of at most `block`, so that what a
-    task holds is bounded; each batch of rows keeps its own best k, which a window merges. No pair is stored."""
-    spark = rows.sparkSession
-    ordered = queries.select("qid", "vec").orderBy("qid")
-    found: list[DataFrame] = []
-    held: list = []
-
-    def search(part: list) -> DataFrame:
-        q = np.stack([np.asarray(r["vec"], np.float64) for r in part])
-        shared = spark.sparkContext.broadcast(([r["qid"] for r in part], q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, unit = shared.value
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.stack(b["vec"].to_numpy()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                ids = b["id"].to_numpy()
-                order = np.argsort(ids.astype(str), kind="stable")
-                sim = np.round(unit @ x[order].T, 6)
-                at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(names, at.shape[1]), "id": ids[order][at.ravel()], "sim": np.take_along_axis(sim, at, axis=1).ravel()})
-
-        kind = queries.schema["qid"].dataType.simpleString()
-        return rows.select("id", "vec").mapInPandas(run, f"qid {kind}, id {rows.schema['id'].dataType.simpleString()}, sim double")
-
-    for r in ordered.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            found.append(search(held))
-            held = []
-    if held or not found:
-        found.append(search(held) if held else rows.select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), "id", F.lit(0.0).alias("sim")).limit(0))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
+def best_columns(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the best k of each row; equal ones by place."""
+    n = score.shape[1]
+    if n > k:
+        edge = np.partition(score, n - k, axis=1)[:, n - k][:, None]
+        m = int((score >= edge).sum(axis=1).max())
+        at = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < n else np.broadcast_to(np.arange(n), score.shape)
+    else:
+        at = np.broadcast_to(np.arange(n), score.shape)
+    some = np.take_along_axis(score, at, axis=1)
+    order = np.lexsort((at, -some), axis=1)[:, :k]
+    return np.take_along_axis(at, order, axis=1), np.take_along_axis(some, order, axis=1)
+
+
+#: Queries in a block; rows that a block meets at once.
+QUERY_BLOCK, ROW_BLOCK = 2048, 20_000
+
+
+def in_blocks(queries: DataFrame, rows: DataFrame, qid: str, rid: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns _block and _bucket, so that every block of queries meets every bucket of rows in one
+    group of bounded size. Only the two counts reach the driver. Rows travel once for each block of queries, queries once
+    for each bucket of rows; no pair is stored."""
+    blocks, buckets = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-rows.count() // ROW_BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("_block", F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int")).withColumn("_bucket", each(buckets))
+    r = rows.withColumn("_bucket", F.pmod(F.xxhash64(rid), F.lit(buckets)).cast("int")).withColumn("_block", each(blocks))
+    return q, r
+
+
+def dense_topk(queries: DataFrame, rows: DataFrame, k: int, other: bool = False) -> DataFrame:
+    """qid, id, sim, rank: exact cosine top-k of every query by (sim rounded to 6 places, id); with `other` without the
+    row whose id is the query's. queries: qid, vec; rows: id, vec, all usable. Blocks of queries and buckets of rows meet in
+    groups; each keeps its own best k, which a window merges."""
+
+    def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"qid": [], "id": [], "sim": []})
+        r = r.sort_values("id", ignore_index=True)
+        unit = lambda c: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.stack(c.to_numpy()).astype(np.float64))
+        x, ids, out = unit(r["vec"]), r["id"].to_numpy(), []
+        for i in range(0, len(q), 256):
+            part = q.iloc[i : i + 256]
+            sim = np.round(unit(part["vec"]) @ x.T, 6)
+            if other:
+                sim[part["qid"].to_numpy()[:, None] == ids[None, :]] = -9
+            at, best = best_columns(sim, k)
+            out.append(pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), at.shape[1]), "id": ids[at.ravel()], "sim": best.ravel()}))
+        return pd.concat(out)
+
+    q, r = in_blocks(queries.select("qid", "vec"), rows.select("id", "vec"), "qid", "id")
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, sim double"
+    found = q.groupBy("_block", "_bucket").cogroup(r.groupBy("_block", "_bucket")).applyInPandas(search, schema)
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
-    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.filter("sim >= -1.5").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

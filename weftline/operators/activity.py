@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.vectors import dense_topk, finite
 from weftline.operators.graph import entity_records
-from weftline.operators.retrieval import DIM, dense_queries
+from weftline.operators.retrieval import DIM, query_set
 from weftline.session import pick, table
 
 #: The time at which the queries of the cache are asked, so that results do not change with the clock.
@@ -23,9 +23,10 @@ def _fresh(days: int):
 
 
 def top03_cache_lookup(spark, sf_dir):
-    """The most similar cached question of each query vector within the time to live; hit from 0.3 on."""
+    """The most similar other cached question of each query vector within the time to live; hit from 0.95 on."""
     rows = cache_rows(spark, sf_dir, "query_embedding", "created_at").filter(_fresh(TTL_DAYS)).select(F.col("cache_key").alias("id"), F.col("query_embedding").alias("vec")).filter(finite(F.col("vec"), DIM))
-    return dense_topk(dense_queries(spark, sf_dir), rows, 1).select("qid", F.col("id").alias("cache_key"), "sim", (F.col("sim") >= 0.3).alias("hit"))
+    asked = query_set(spark, sf_dir).select("qid", "vec").filter(finite(F.col("vec"), DIM))
+    return dense_topk(asked, rows, 1, other=True).select("qid", F.col("id").alias("cache_key"), "sim", (F.col("sim") >= 0.95).alias("hit"))
 
 
 def dat01_expired(spark, sf_dir):
@@ -118,7 +119,7 @@ _G = "g as (select distinct on (context_id) * from graph_contexts)"
 _OK = "{0} is not null and len({0}) = 64 and len(list_filter({0}, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter({0}, lambda x: x <> 0)) > 0"
 _NOW = "timestamptz '2026-01-01 00:00:00+00'"
 SQL = {
-    "top03_cache_lookup": f"with {_C}, q as (select distinct on (vec_id) vec_id qid, embedding qv from embeddings where vec_id % 20 = 0 and {_OK.format('embedding')}), r as (select cache_key, query_embedding v from c where created_at > {_NOW} - interval 365 day and {_OK.format('query_embedding')}) select qid, cache_key, sim, sim >= 0.3 hit from (select *, row_number() over (partition by qid order by sim desc, cache_key) n from (select qid, cache_key, round(list_cosine_similarity(qv::double[], v::double[]), 6) sim from q, r)) where n = 1",
+    "top03_cache_lookup": f"with {_C}, q as (select cache_key qid, query_embedding qv from c where ('0x' || left(cache_key, 8))::bigint % 20 = 0 and {_OK.format('query_embedding')}), r as (select cache_key, query_embedding v from c where created_at > {_NOW} - interval 365 day and {_OK.format('query_embedding')}) select qid, cache_key, sim, sim >= 0.95 hit from (select *, row_number() over (partition by qid order by sim desc, cache_key) n from (select qid, cache_key, round(list_cosine_similarity(qv::double[], v::double[]), 6) sim from q, r where qid <> cache_key)) where n = 1",
     "dat01_expired": f"with {_C} select strftime(created_at, '%Y-%m') as month, count(*) n, count(*) filter (not created_at > {_NOW} - interval 200 day) n_expired from c group by 1",
     "stm06_cache_after_hits": f"with {_C}, {_G}, a as (select lower(trim(query)) q, count(*) n, max(created_at) at_ from g group by 1) select cache_key, coalesce(hit_count, 0) + coalesce(n, 0) hit_count, greatest(accessed_at, at_) accessed_at from c left join a on a.q = lower(trim(query_original))",
     "snk09_latest_run": f"with {_E} select user_id, min(ts) started_at, case arg_max(event_type, (ts, event_id)) filter (event_type in ('purchase', 'error')) when 'purchase' then 'succeeded' when 'error' then 'failed' else 'running' end status from e group by 1",

@@ -7,37 +7,57 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators.graph import edges, entities, entity_records, grf05_edges, label_communities
-from weftline.operators.retrieval import context_chunks, live_chunks, live_documents, postings, query_set, terms
-from weftline.session import cut, pick, table
+from weftline.operators.retrieval import context_chunks, live_chunks, live_documents, postings, terms
+from weftline.session import pick, table
 
-#: Longest name in words that is looked for in a query.
-NAME_WORDS = 6
+def name_keys(spark, sf_dir) -> DataFrame:
+    """entity_id, key, alias: the words of every name (alias 0) and alias (1) of an entity, of any of its records."""
+    every = entity_records(spark, sf_dir).select("entity_id", "name", "aliases").unionByName(pick(table(spark, sf_dir, "kb_entities"), "entity_id", "name", "aliases"))
+    said = F.concat(F.array(F.struct(F.col("name").alias("said"), F.lit(0).alias("alias"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("said"), F.lit(1).alias("alias"))))
+    return every.select("entity_id", F.inline(said)).select("entity_id", F.array_join(terms("said"), " ").alias("key"), "alias").filter("length(key) >= 2").distinct()
 
 
-def mentions(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """qid, entity_id, distance: names that occur in a query as whole words; 0 if the query is the name, else 0.15.
+def mentions(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """qid, entity_id, distance: entities whose name or alias occurs in a query as whole words: 0 if the query is the name,
+    0.02 if it is an alias, else 0.15; 0.05 where the whole query is a part of a name instead.
 
-    Every run of up to NAME_WORDS words of a query is looked up by an equality join, so no query meets every name.
-    Names of one word under two characters and null names never match."""
-    w = terms("query")
-    n = F.size("w")
-    runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(NAME_WORDS), n - i)), lambda k: F.array_join(F.slice("w", i + 1, k), " "))))
-    asked = queries.select("qid", w.alias("w")).filter("size(w) > 0").select("qid", F.array_join("w", " ").alias("whole"), F.explode(F.array_distinct(runs)).alias("key"))
-    known = names.select("entity_id", F.array_join(terms("name"), " ").alias("key")).filter("length(key) >= 2").distinct()
-    return asked.join(known, "key").groupBy("qid", "entity_id").agg(F.min(F.when(F.col("whole") == F.col("key"), 0.0).otherwise(0.15)).alias("distance"))
+    Every run of words of a query, as long as the longest key, is looked up by an equality join, so no query meets
+    every name. Keys under two characters and null names never match."""
+    runs_of = lambda w, most: F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(most, F.size(w) - i)), lambda k: F.array_join(F.slice(w, i + 1, k), " "))))
+    longest = keys.agg(F.coalesce(F.max(F.size(F.split("key", " "))), F.lit(1)).alias("most"))
+    asked = queries.select("qid", terms("query").alias("w")).filter("size(w) > 0").withColumn("whole", F.array_join("w", " ")).crossJoin(F.broadcast(longest))
+    runs = asked.select("qid", "whole", F.explode(F.array_distinct(runs_of("w", F.col("most")))).alias("key"))
+    inside = runs.join(keys, "key").select("qid", "entity_id", F.when(F.col("whole") != F.col("key"), 0.15).when(F.col("alias") == 0, 0.0).otherwise(0.02).alias("distance"))
+    wholes = queries.select("qid", F.array_join(terms("query"), " ").alias("part")).filter("length(part) >= 2")
+    parts = keys.filter("alias = 0").withColumn("w", F.split("key", " ")).select("entity_id", "key", F.explode(F.array_distinct(runs_of("w", F.size("w")))).alias("part")).filter("part <> key")
+    around = wholes.join(parts, "part").select("qid", "entity_id", F.lit(0.05).alias("distance"))
+    return inside.unionByName(around).groupBy("qid", "entity_id").agg(F.min("distance").alias("distance"))
+
+
+def context_queries(spark, sf_dir) -> DataFrame:
+    return pick(table(spark, sf_dir, "graph_contexts"), "context_id", "query").dropDuplicates(["context_id"]).select(F.col("context_id").alias("qid"), "query")
 
 
 def jon05_text_mentions(spark, sf_dir):
-    q = pick(table(spark, sf_dir, "graph_contexts"), "context_id", "query").dropDuplicates(["context_id"]).select(F.col("context_id").alias("qid"), "query")
-    return mentions(q, entities(spark, sf_dir))
+    return mentions(context_queries(spark, sf_dir), name_keys(spark, sf_dir))
+
+
+def top04_mention_order(spark, sf_dir):
+    """The mentions of each query by distance, then by the best confidence of the entity."""
+    valid = F.when(~F.isnan("confidence") & F.col("confidence").between(0, 1), F.col("confidence"))
+    every = entity_records(spark, sf_dir).select("entity_id", "confidence").unionByName(pick(table(spark, sf_dir, "kb_entities"), "entity_id", "confidence"))
+    best = every.groupBy("entity_id").agg(F.coalesce(F.max(valid), F.lit(0.0)).alias("confidence"))
+    w = Window.partitionBy("qid").orderBy("distance", F.desc("confidence"), "entity_id")
+    return jon05_text_mentions(spark, sf_dir).join(best, "entity_id").withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
 
 
 def grf01_local_context(spark, sf_dir):
-    """Entities of the query set: those mentioned, and their neighbours by one edge."""
-    seeds = mentions(query_set(spark, sf_dir), entities(spark, sf_dir)).select("qid", "entity_id")
+    """Entities of the contexts whose id is divisible by 20: those mentioned, and their neighbours by one edge."""
+    seeds = mentions(context_queries(spark, sf_dir).filter("qid % 20 = 0"), name_keys(spark, sf_dir)).select("qid", "entity_id")
     e = edges(spark, sf_dir)
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = seeds.select("qid", F.col("entity_id").alias("u")).join(both, "u").select("qid", F.col("v").alias("entity_id"), F.lit(1).alias("role"))
+    # a hub has all its neighbours whichever query names it: a neighbourhood is gathered once and joined to the distinct seeds
+    near = seeds.select("qid", F.col("entity_id").alias("u")).join(both.join(seeds.select(F.col("entity_id").alias("u")).distinct(), "u", "left_semi"), "u").select("qid", F.col("v").alias("entity_id"), F.lit(1).alias("role"))
     every = seeds.withColumn("role", F.lit(0)).unionByName(near)
     return every.groupBy("qid", "entity_id").agg(F.min("role").alias("distance"))
 
@@ -126,7 +146,7 @@ def vec02_dimensions(spark, sf_dir):
 
 def grf09_community_texts(spark, sf_dir):
     """Fallback summary of each community: its first five names, and how many more there are."""
-    labels = label_communities(cut(grf05_edges(spark, sf_dir)))
+    labels = label_communities(grf05_edges(spark, sf_dir))
     named = labels.join(entities(spark, sf_dir).select("entity_id", "name"), "entity_id")
     first = named.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy("name", "entity_id"))).filter("r <= 5").groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("names"))
     size = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
@@ -137,11 +157,14 @@ _CK = "ck as (select distinct on (chunk_id) * from kb_chunks where deleted_at is
 _T = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
 _R = "r as (select distinct on (record_id) * from extracted_entities)"
 _ENT = _R + ", kb as (select distinct on (entity_id) entity_id, name, type from kb_entities), ent as (select * from kb union all select entity_id, m.name, m.type from (select entity_id, min({record_id: record_id, name: name, type: type}) m from r group by 1) where entity_id not in (select entity_id from kb))"
-_MEN = f"kn as (select distinct entity_id, array_to_string({_T.format('name')}, ' ') k from ent), qs as (select qid, array_to_string({_T.format('query')}, ' ') w from q), men as (select qid, entity_id, min(case when w = k then 0.0::double else 0.15::double end) distance from qs, kn where length(k) >= 2 and contains(' ' || w || ' ', ' ' || k || ' ') and len(string_split(k, ' ')) <= 6 group by 1, 2)"
+_MEN = f"""said as (select entity_id, name said, 0 alias from r union all select entity_id, unnest(aliases), 1 from r union all select entity_id, name, 0 from kb_entities union all select entity_id, unnest(aliases), 1 from kb_entities),
+  kn as (select distinct entity_id, alias, array_to_string({_T.format('said')}, ' ') k from said), qs as (select qid, array_to_string({_T.format('query')}, ' ') w from q),
+  men as (select qid, entity_id, min(case when w <> k and contains(' ' || w || ' ', ' ' || k || ' ') then 0.15::double when w <> k then 0.05::double when alias = 0 then 0.0::double else 0.02::double end) distance from qs, kn where length(k) >= 2 and length(w) >= 1 and (contains(' ' || w || ' ', ' ' || k || ' ') or alias = 0 and length(w) >= 2 and contains(' ' || k || ' ', ' ' || w || ' ')) group by 1, 2)"""
 _ED = "rl as (select distinct on (record_id) * from extracted_relations), ed as (select distinct least(source_entity_id, target_entity_id) u, greatest(source_entity_id, target_entity_id) v from rl where source_entity_id <> target_entity_id and source_entity_id in (select entity_id from ent) and target_entity_id in (select entity_id from ent)), b as (select u, v from ed union all select v, u from ed)"
 _CTX = "refs as (select qid, pos - 1 pos, lower(trim(ref)) ref from (select context_id qid, unnest(source_chunk_ids) ref, generate_subscripts(source_chunk_ids, 1) pos from (select distinct on (context_id) * from graph_contexts)) where trim(ref) <> ''), keys as (select chunk_id id, lower(chunk_id) ref from ck union all select chunk_id, lower(doc_id) || '_chunk_' || chunk_index from ck), cc as (select qid, id, row_number() over (partition by qid order by pos, id) rank from (select qid, id, min(pos) pos from refs join keys using (ref) group by 1, 2))"
 SQL = {
     "jon05_text_mentions": f"with {_ENT}, q as (select distinct context_id qid, query from graph_contexts), {_MEN} select * from men",
+    "top04_mention_order": f"with {_ENT}, q as (select distinct context_id qid, query from graph_contexts), {_MEN}, c as (select entity_id, coalesce(max(case when not isnan(confidence) and confidence between 0 and 1 then confidence end), 0) confidence from (select entity_id, confidence from r union all select entity_id, confidence from kb_entities) group by 1) select * from (select qid, entity_id, distance, confidence, row_number() over (partition by qid order by distance, confidence desc, entity_id) rank from men join c using (entity_id)) where rank <= 10",
     "grf01_local_context": f"with {_ENT}, q as (select distinct context_id qid, query from graph_contexts where context_id % 20 = 0), {_MEN}, {_ED} select qid, entity_id, min(d)::int distance from (select qid, entity_id, 0 d from men union all select qid, v, 1 from men join b on b.u = entity_id) group by 1, 2",
     "agg07_gleaned_only": f"with {_R} select distinct entity_id from r where extractor = 'gleaning' and entity_id not in (select entity_id from r where extractor <> 'gleaning')",
     "agg22_rule_scores": "with a as (select id, lower(coalesce(reference, '')) t, list_filter(list_concat(coalesce(metadata.work_search_eval.expected_title_contains, []), coalesce(metadata.work_search_eval.expected_writer_contains, [])), lambda x: x is not null) w from (select distinct on (id) * from agent_eval_example)), u as (select id, t, unnest(w) x from a) select id, count(*)::int n_checks, (count(*) filter (contains(t, lower(x))))::int n_passed, round(count(*) filter (contains(t, lower(x))) / count(*), 6) score from u group by 1",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import noise_class
+from weftline.operators.text_queries import NOISE_SQL
 from weftline.operators.components import connected_components
-from weftline.session import cut, pick, table
+from weftline.operators.skew import hub_join
+from weftline.session import cut, cut_table, pick, table
 
 
 def entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undirected weighted edges (u < v): dangling ends and loops dropped, null weights 1, parallel ones summed."""
     rel = relation_records(spark, sf_dir).select("source_entity_id", "target_entity_id", F.coalesce("weight", F.lit(1.0)).alias("weight")).filter("source_entity_id <> target_entity_id")
     ids = entities(spark, sf_dir).select("entity_id")
-    rel = rel.join(ids.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id", "left_semi").join(ids.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id", "left_semi")
+    rel = hub_join(rel.join(ids.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id", "left_semi"), ids.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id")
     return rel.groupBy(F.least("source_entity_id", "target_entity_id").alias("u"), F.greatest("source_entity_id", "target_entity_id").alias("v")).agg(F.round(F.sum("weight"), 6).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
@@ -41,54 +43,12 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).join(ends.groupBy("entity_id").agg(F.count(F.lit(1)).alias("degree")), "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def snk04_entity_upsert(spark, sf_dir):
-    """Records of an entity merged: longest description (first of equal length), best confidence, counts of the unions."""
-    r = entity_records(spark, sf_dir)
-    sane = F.when(~F.isnan("confidence") & F.col("confidence").between(0, 1), F.col("confidence"))
-    longest = F.max(F.struct(F.length(F.coalesce("description", F.lit(""))).alias("n"), (-F.col("record_id")).alias("o"), F.coalesce("description", F.lit("")).alias("d")))
-    top = r.groupBy("entity_id").agg(longest.alias("l"), F.max(sane).alias("confidence"), F.count(F.lit(1)).alias("n_records"))
-    alias = r.select("entity_id", F.explode("aliases").alias("a")).groupBy("entity_id").agg(F.countDistinct("a").alias("n_aliases"))
-    ids = r.select("entity_id", F.explode("source_chunk_ids").alias("c")).groupBy("entity_id").agg(F.countDistinct("c").alias("n_chunks"))
-    return top.join(alias, "entity_id", "left").join(ids, "entity_id", "left").select("entity_id", F.col("l.d").alias("description"), "confidence", "n_records", F.coalesce("n_aliases", F.lit(0)).alias("n_aliases"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
-
-
-def snk05_relation_upsert(spark, sf_dir):
-    """Relations with one id merged: weights added, best confidence, number of different evidences."""
-    return relation_records(spark, sf_dir).groupBy("relation_id").agg(F.max("confidence").alias("confidence"), F.round(F.sum("weight"), 6).alias("weight"), F.countDistinct(F.nullif("evidence", F.lit(""))).alias("n_evidences"), F.count(F.lit(1)).alias("n_records"))
-
-
-def snk07_relations_with_both_ends(spark, sf_dir):
-    ids = entities(spark, sf_dir).select("entity_id", "name")
-    a, b = ids.select(F.col("entity_id").alias("source_entity_id"), F.col("name").alias("source_name")), ids.select(F.col("entity_id").alias("target_entity_id"), F.col("name").alias("target_name"))
-    j = relation_records(spark, sf_dir).join(a, "source_entity_id").join(b, "target_entity_id")
-    return j.groupBy("source_name", "target_name", "type").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
-
-
-def agg05_merge_by_key(spark, sf_dir):
-    """Records merged over chunks by canonical key or lower-case name; the first record gives the name."""
-    r = entity_records(spark, sf_dir)
-    key = F.coalesce(F.nullif(F.lower(F.trim("canonical_key")), F.lit("")), F.lower("name"))
-    return r.groupBy(key.alias("key")).agg(F.min(F.struct("record_id", "name")).alias("f"), F.countDistinct("entity_id").alias("n_ids"), F.countDistinct("name").alias("n_names"), F.count(F.lit(1)).alias("n_records")).select("key", F.col("f.name").alias("name"), "n_ids", "n_names", "n_records")
-
-
-def agg06_merge_relations(spark, sf_dir):
-    """Relations merged by their ends and type: the weight is the group's size, or its own if it is alone."""
-    g = relation_records(spark, sf_dir).groupBy("source_entity_id", "target_entity_id", "type").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("own"), F.max("confidence").alias("confidence"))
-    return g.select("source_entity_id", "target_entity_id", "type", F.when(F.col("n") > 1, F.col("n").cast("double")).otherwise(F.col("own")).alias("weight"), "confidence")
-
-
-def agg08_best_mention(spark, sf_dir):
-    """Best score of each entity over all graph contexts, with the first context that has it."""
-    c = pick(table(spark, sf_dir, "graph_contexts"), "context_id", "entities").dropDuplicates(["context_id"])
-    e = c.select("context_id", F.inline("entities")).filter("entity_id is not null and score is not null")
-    return e.groupBy(F.lower(F.trim("entity_id")).alias("entity_id")).agg(F.min(F.struct((-F.col("score")).alias("s"), "context_id")).alias("b")).select("entity_id", (-F.col("b.s")).alias("score"), F.col("b.context_id").alias("context_id"))
-
-
 def jon04_relation_names(spark, sf_dir):
     """Relations with the names of their ends; an unknown end keeps its id as its name."""
     ids = entities(spark, sf_dir)
     side = lambda p: ids.select(F.col("entity_id").alias(f"{p}_entity_id"), F.col("name").alias(f"{p}_n"), F.col("type").alias(f"{p}_t"))
-    j = relation_records(spark, sf_dir).join(side("source"), "source_entity_id", "left").join(side("target"), "target_entity_id", "left")
+    ends = relation_records(spark, sf_dir).select("record_id", "source_entity_id", "target_entity_id")
+    j = hub_join(ends.join(side("source"), "source_entity_id", "left"), side("target"), "target_entity_id", "left")
     return j.select("record_id", F.coalesce("source_n", "source_entity_id").alias("source_name"), F.coalesce("source_t", F.lit("")).alias("source_type"), F.coalesce("target_n", "target_entity_id").alias("target_name"), F.coalesce("target_t", F.lit("")).alias("target_type"))
 
 
@@ -100,14 +60,15 @@ def jon06_relations_among_names(spark, sf_dir):
 
 
 def jon07_resolved_ends(spark, sf_dir):
-    """Sources of relations resolved by id, else by name, else by alias; the smallest id of equal names."""
-    r = relation_records(spark, sf_dir).filter("source_entity_id is not null").select("record_id", F.lower(F.trim("source_entity_id")).alias("ref")).filter("ref <> ''")
+    """Both ends of relations resolved by id, else by name, else by alias; the smallest id of equal names."""
+    r = relation_records(spark, sf_dir)
+    ends = r.select("record_id", F.inline(F.array(*[F.struct(F.lit(side).alias("side"), F.lower(F.trim(f"{side}_entity_id")).alias("ref")) for side in ("source", "target")]))).filter("ref <> ''")
     e = entity_records(spark, sf_dir)
     by_id = e.select(F.lower("entity_id").alias("ref"), F.lit(0).alias("o"), "entity_id")
     by_name = e.select(F.lower(F.trim("name")).alias("ref"), F.lit(1).alias("o"), "entity_id")
     by_alias = e.select(F.explode("aliases").alias("ref"), F.lit(2).alias("o"), "entity_id").withColumn("ref", F.lower(F.trim("ref")))
     keys = by_id.unionByName(by_name).unionByName(by_alias).filter("ref <> ''").groupBy("ref").agg(F.min(F.struct("o", "entity_id")).alias("m"))
-    return r.join(keys, "ref").select("record_id", F.col("m.entity_id").alias("entity_id"), F.element_at(F.array(F.lit("id"), F.lit("name"), F.lit("alias")), F.col("m.o") + 1).alias("by"))
+    return hub_join(ends, keys, "ref").select("record_id", "side", F.col("m.entity_id").alias("entity_id"), F.element_at(F.array(F.lit("id"), F.lit("name"), F.lit("alias")), F.col("m.o") + 1).alias("by"))
 
 
 def jon09_documents_without_entities(spark, sf_dir):
@@ -168,9 +129,17 @@ def agg12_orphan_rate(spark, sf_dir):
 
 
 def agg13_name_lengths(spark, sf_dir):
+    """Lengths of names in six buckets, orphans beside connected entities, with their mean, least, greatest and middle
+    length (the upper one of two middles)."""
     n = F.length("name")
     bucket = F.when(n <= 5, "1-5").when(n <= 10, "6-10").when(n <= 20, "11-20").when(n <= 30, "21-30").when(n <= 50, "31-50").otherwise("51+")
-    return degrees(spark, sf_dir).groupBy(bucket.alias("bucket")).agg(F.count_if(F.col("degree") == 0).alias("n_orphans"), F.count_if(F.col("degree") > 0).alias("n_connected"))
+    counted = degrees(spark, sf_dir).groupBy(bucket.alias("bucket"), n.alias("n")).agg(F.count_if(F.col("degree") == 0).alias("o"), F.count_if(F.col("degree") > 0).alias("c"))  # lengths are few
+    below = Window.partitionBy("bucket").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    every = F.col("o") + F.col("c")
+    lengths = counted.filter("n is not null").withColumn("upto", F.sum(every).over(below)).withColumn("all", F.sum(every).over(Window.partitionBy("bucket")))
+    middle = lengths.groupBy("bucket").agg(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("n"))).alias("median"))
+    g = counted.groupBy("bucket").agg(F.sum("o").alias("n_orphans"), F.sum("c").alias("n_connected"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.sum(F.col("n") * every) / F.sum(F.when(F.col("n").isNotNull(), every)), 6).alias("mean"))
+    return g.join(middle, "bucket", "left")
 
 
 def agg14_common_names(spark, sf_dir):
@@ -178,8 +147,12 @@ def agg14_common_names(spark, sf_dir):
 
 
 def agg24_cross_referenced(spark, sf_dir):
-    ids = entity_records(spark, sf_dir).select("entity_id", F.explode("source_chunk_ids").alias("c")).filter("trim(c) <> ''").groupBy("entity_id").agg(F.countDistinct("c").alias("n"))
-    return ids.agg(F.count_if(F.col("n") > 1).alias("n_cross_referenced"), F.count(F.lit(1)).alias("n_entities"))
+    """Entities from several chunks, without any description, and with a best confidence below a half."""
+    r = entity_records(spark, sf_dir)
+    ids = r.select("entity_id", F.explode("source_chunk_ids").alias("c")).filter("trim(c) <> ''").groupBy("entity_id").agg(F.countDistinct("c").alias("n"))
+    valid = F.when(~F.isnan("confidence") & F.col("confidence").between(0, 1), F.col("confidence"))
+    own = r.groupBy("entity_id").agg(F.max(F.coalesce(F.length(F.trim("description")), F.lit(0))).alias("d"), F.max(valid).alias("conf"))
+    return own.join(ids, "entity_id", "left").agg(F.count_if(F.col("n") > 1).alias("n_cross_referenced"), F.count_if(F.col("d") == 0).alias("n_undescribed"), F.count_if(F.coalesce("conf", F.lit(0.0)) < 0.5).alias("n_doubtful"), F.count(F.lit(1)).alias("n_entities"))
 
 
 def top07_hubs(spark, sf_dir):
@@ -210,8 +183,9 @@ def grf11_orphan_relations(spark, sf_dir):
     """Relations to delete: an end is missing, or they name no chunk."""
     ids = entities(spark, sf_dir).select("entity_id")
     r = relation_records(spark, sf_dir)
-    a = r.join(ids.withColumnRenamed("entity_id", "source_entity_id").withColumn("s", F.lit(1)), "source_entity_id", "left").join(ids.withColumnRenamed("entity_id", "target_entity_id").withColumn("t", F.lit(1)), "target_entity_id", "left")
-    return a.filter(F.col("s").isNull() | F.col("t").isNull() | (F.coalesce(F.size("source_chunk_ids"), F.lit(0)) <= 0)).select("record_id")
+    a = r.select("record_id", "source_entity_id", "target_entity_id", F.size("source_chunk_ids").alias("n_chunks")).join(ids.withColumnRenamed("entity_id", "source_entity_id").withColumn("s", F.lit(1)), "source_entity_id", "left")
+    a = hub_join(a, ids.withColumnRenamed("entity_id", "target_entity_id").withColumn("t", F.lit(1)), "target_entity_id", "left")
+    return a.filter(F.col("s").isNull() | F.col("t").isNull() | (F.coalesce("n_chunks", F.lit(0)) <= 0)).select("record_id")
 
 
 def grf12_noise_orphans(spark, sf_dir):
@@ -221,30 +195,98 @@ def grf12_noise_orphans(spark, sf_dir):
 def grf13_scorecard(spark, sf_dir):
     d = degrees(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_entities"), F.count_if(F.col("degree") == 0).alias("n_orphans"))
     e = edges(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_edges"))
-    rate = F.col("n_orphans") / F.col("n_entities") * 100
-    return d.crossJoin(e).select("n_entities", "n_edges", F.round(F.col("n_edges") / F.col("n_entities"), 6).alias("ratio"), F.round(rate, 6).alias("orphan_rate"), F.when(rate < 20, "good").when(rate < 40, "moderate").otherwise("poor").alias("grade"))
+    return d.crossJoin(e).select("n_entities", "n_edges", F.round(F.col("n_edges") / F.col("n_entities"), 6).alias("ratio"), F.round(F.col("n_orphans") / F.col("n_entities") * 100, 6).alias("orphan_rate"))
+
+
+def both_ways(e: DataFrame) -> DataFrame:
+    return e.select("u", "v", "weight").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
+
+
+def label_communities(e: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """entity_id, community: weighted label propagation until no vertex wants to move. A vertex wants the label of
+    greatest weight among its neighbours (the smallest of equal ones) if it outweighs its present one's; in each round
+    the half of the vertices moves whose hash agrees with the round, so that neighbours do not swap for ever.
+    Sums by label are gathered on the map side, so a hub costs no more than its different labels."""
+    both = cut_table(both_ways(e))
+    labels = cut(both.select(F.col("u").alias("entity_id")).distinct().withColumn("community", F.col("entity_id")))
+    for r in range(max_rounds):
+        near = both.join(labels.withColumnRenamed("entity_id", "v"), "v").groupBy("u", "community").agg(F.round(F.sum("weight"), 6).alias("w"))
+        seen = near.join(labels.select(F.col("entity_id").alias("u"), F.col("community").alias("own")), "u")
+        best = seen.groupBy("u", "own").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b"), F.coalesce(F.max(F.when(F.col("community") == F.col("own"), F.col("w"))), F.lit(0.0)).alias("stay"))
+        wants = (-F.col("b.w")) > F.col("stay")
+        turn = F.pmod(F.xxhash64("u", F.lit(r // 2)), F.lit(2)) == r % 2
+        moved = cut(best.select(F.col("u").alias("entity_id"), F.when(wants & turn, F.col("b.community")).otherwise(F.col("own")).alias("community"), wants.alias("wants")))
+        labels = moved.drop("wants")
+        if moved.filter("wants").isEmpty():
+            return labels
+    raise RuntimeError(f"communities did not settle in {max_rounds} rounds")
+
+
+def community_levels(e: DataFrame, levels: int = 3) -> DataFrame:
+    """level, entity_id, community: the communities of the graph, then those of the graph between them, and so on. A
+    community is named by its level and its label; one without an edge to another stays as it is."""
+    step = members = label_communities(e)
+    out = None
+    for level in range(levels):
+        if level:
+            side = lambda end: step.select(F.col("entity_id").alias(end), F.col("community").alias("c" + end))  # noqa: B023, E731
+            ends = hub_join(cut_table(hub_join(e, side("u"), "u")), side("v"), "v").filter("cu <> cv")
+            e = cut_table(ends.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.round(F.sum("weight"), 6).alias("weight")))
+            step = label_communities(e)
+            members = cut_table(members.join(step.select(F.col("entity_id").alias("community"), F.col("community").alias("next")), "community", "left").select("entity_id", F.coalesce("next", "community").alias("community")))
+        rows = members.select(F.lit(level).alias("level"), "entity_id", F.concat(F.lit(f"L{level}_"), "community").alias("community"))
+        out = rows if out is None else out.unionByName(rows)
+    return cut_table(out)
+
+
+def community_table(levels: DataFrame, e: DataFrame, least: int = 3) -> DataFrame:
+    """level, community, parent, n_members, inner_weight of communities of `least` members or more. The parent is the
+    next level's community of the smallest member; the last level has none."""
+    first = levels.groupBy("level", "community").agg(F.count(F.lit(1)).alias("n_members"), F.min("entity_id").alias("entity_id")).filter(F.col("n_members") >= least)
+    above = levels.select((F.col("level") - 1).alias("level"), "entity_id", F.col("community").alias("parent"))
+    own = first.join(above, ["level", "entity_id"], "left")
+    per_level = levels.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("level", "community"))).alias("cs"))  # as many as there are levels
+    side = lambda end: per_level.select(F.col("entity_id").alias(end), F.col("cs").alias("c" + end))
+    ends = hub_join(cut_table(hub_join(e, side("u"), "u")), side("v"), "v")
+    shared = ends.select("weight", F.explode(F.array_intersect("cu", "cv")).alias("c")).groupBy(F.col("c.level").alias("level"), F.col("c.community").alias("community")).agg(F.round(F.sum("weight"), 4).alias("inner_weight"))
+    return own.join(shared, ["level", "community"], "left").select("level", "community", "parent", "n_members", F.coalesce("inner_weight", F.lit(0.0)).alias("inner_weight"))
+
+
+def graph_levels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = cut_table(edges(spark, sf_dir))
+    return community_levels(e), e
 
 
-def label_communities(e: DataFrame, rounds: int = 4) -> DataFrame:
-    """entity_id, community: weighted label propagation in a fixed number of rounds. Each vertex takes the label of
-    greatest weight among its neighbours (the smallest of equal ones). Sums are gathered on the map side, so a hub
-    costs no more than its different labels."""
-    both = e.select("u", "v", "weight").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
-    labels = both.select(F.col("u").alias("entity_id")).distinct().withColumn("community", F.col("entity_id"))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("entity_id", "v"), "v").groupBy("u", "community").agg(F.sum("weight").alias("w"))
-        best = near.groupBy("u").agg(F.min(F.struct((-F.round("w", 6)).alias("w"), "community")).alias("b"))
-        labels = cut(best.select(F.col("u").alias("entity_id"), F.col("b.community").alias("community")))
-    return labels
+def grf06_communities(spark, sf_dir):
+    """Communities of three members or more on three levels, with their parent, size and inner weight."""
+    return community_table(*graph_levels(spark, sf_dir))
 
 
-def grf06_communities(spark, sf_dir):
-    """Communities of three members or more with their size and inner weight."""
-    e = cut(edges(spark, sf_dir))
-    labels = label_communities(e)
-    size = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n_members")).filter("n_members >= 3")
-    inner = e.join(labels.select(F.col("entity_id").alias("u"), F.col("community").alias("cu")), "u").join(labels.select(F.col("entity_id").alias("v"), F.col("community").alias("cv")), "v").filter("cu = cv").groupBy(F.col("cu").alias("community")).agg(F.round(F.sum("weight"), 4).alias("inner_weight"))
-    return size.join(inner, "community", "left")
+def grf07_parents(spark, sf_dir):
+    """How many communities of each level have a parent, and how many parents they have between them."""
+    return grf06_communities(spark, sf_dir).groupBy("level").agg(F.count(F.lit(1)).alias("n_communities"), F.count("parent").alias("n_with_parent"), F.countDistinct("parent").alias("n_parents"))
+
+
+def grf08_inner_relations(spark, sf_dir):
+    """Relations with both ends in one community of the first level, their evidence on one line and cut at 120
+    characters, as it is shown in a description."""
+    levels, _ = graph_levels(spark, sf_dir)
+    own = levels.filter("level = 0")
+    side = lambda end: own.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("community").alias(end))
+    rel = relation_records(spark, sf_dir).select("record_id", "type", "source_entity_id", "target_entity_id", F.left(F.regexp_replace(F.coalesce("evidence", F.lit("")), r"\s*\n\s*", " "), F.lit(120)).alias("evidence"))
+    inside = hub_join(cut_table(hub_join(rel, side("source"), "source_entity_id")), side("target"), "target_entity_id").filter("source = target")
+    return inside.select(F.col("source").alias("community"), "record_id", "type", "evidence")
+
+
+def snk08_membership(spark, sf_dir):
+    """The links between entities and their communities that are stored: those of communities of three members or more."""
+    levels, e = graph_levels(spark, sf_dir)
+    return levels.join(community_table(levels, e).select("level", "community"), ["level", "community"], "left_semi").select("entity_id", "level", "community")
+
+
+def top06_communities(spark, sf_dir):
+    """The five communities of greatest inner weight."""
+    return grf06_communities(spark, sf_dir).orderBy(F.desc("inner_weight"), "level", "community").limit(5)
 
 
 def grf05_components(spark, sf_dir):
@@ -266,15 +308,9 @@ _ED = _E + ", " + _RL + ", ed as (select least(source_entity_id, target_entity_i
 _DG = _ED + ", dg as (select ent.*, coalesce(degree, 0) degree from ent left join (select entity_id, count(*) degree from (select u entity_id from ed union all select v from ed) group by 1) using (entity_id))"
 _NAMES = "nm as (select record_id, coalesce(s.name, source_entity_id) source_name, coalesce(s.type, '') source_type, coalesce(t.name, target_entity_id) target_name, coalesce(t.type, '') target_type from rl left join ent s on s.entity_id = source_entity_id left join ent t on t.entity_id = target_entity_id)"
 SQL = {
-    "snk04_entity_upsert": f"with {_R} select entity_id, description, confidence, n_records, coalesce(n_aliases, 0) n_aliases, coalesce(n_chunks, 0) n_chunks from (select entity_id, max(case when not isnan(confidence) and confidence between 0 and 1 then confidence end) confidence, count(*) n_records from r group by 1) join (select entity_id, coalesce(description, '') description from (select *, row_number() over (partition by entity_id order by length(coalesce(description, '')) desc, record_id) n from r) where n = 1) using (entity_id) left join (select entity_id, count(distinct a) n_aliases from (select entity_id, unnest(aliases) a from r) group by 1) using (entity_id) left join (select entity_id, count(distinct c) n_chunks from (select entity_id, unnest(source_chunk_ids) c from r) group by 1) using (entity_id)",
-    "snk05_relation_upsert": f"with {_RL} select relation_id, max(confidence) confidence, round(sum(weight), 6) weight, count(distinct nullif(evidence, '')) n_evidences, count(*) n_records from rl group by 1",
-    "snk07_relations_with_both_ends": f"with {_E}, {_RL} select s.name source_name, t.name target_name, rl.type, count(*) n, max(confidence) confidence from rl join ent s on s.entity_id = source_entity_id join ent t on t.entity_id = target_entity_id group by 1, 2, 3",
-    "agg05_merge_by_key": f"with {_R} select \"key\", arg_min(name, record_id) name, count(distinct entity_id) n_ids, count(distinct name) n_names, count(*) n_records from (select *, coalesce(nullif(lower(trim(canonical_key)), ''), lower(name)) \"key\" from r) group by 1",
-    "agg06_merge_relations": f"with {_RL} select source_entity_id, target_entity_id, type, case when count(*) > 1 then count(*)::double else max(weight) end weight, max(confidence) confidence from rl group by 1, 2, 3",
-    "agg08_best_mention": "with e as (select context_id, unnest(entities) e from (select distinct on (context_id) * from graph_contexts)) select entity_id, score, context_id from (select lower(trim(e.entity_id)) entity_id, e.score score, context_id, row_number() over (partition by lower(trim(e.entity_id)) order by e.score desc, context_id) n from e where e.entity_id is not null and e.score is not null) where n = 1",
     "jon04_relation_names": f"with {_E}, {_RL}, {_NAMES} select * from nm",
     "jon06_relations_among_names": f"with {_E}, {_RL}, {_NAMES}, x as (select distinct e.name from (select unnest(entities) e from graph_contexts) where e.name is not null) select record_id, source_name, target_name from nm where source_name in (from x) and target_name in (from x)",
-    "jon07_resolved_ends": f"with {_R}, {_RL}, k as (select lower(entity_id) ref, 0 o, entity_id from r union all select lower(trim(name)), 1, entity_id from r union all select lower(trim(a)), 2, entity_id from (select unnest(aliases) a, entity_id from r)), m as (select * from (select *, row_number() over (partition by ref order by o, entity_id) n from k where ref <> '') where n = 1) select record_id, entity_id, ['id', 'name', 'alias'][o + 1] \"by\" from rl join m on m.ref = lower(trim(source_entity_id)) where trim(source_entity_id) <> ''",
+    "jon07_resolved_ends": f"with {_R}, {_RL}, k as (select lower(entity_id) ref, 0 o, entity_id from r union all select lower(trim(name)), 1, entity_id from r union all select lower(trim(a)), 2, entity_id from (select unnest(aliases) a, entity_id from r)), m as (select * from (select *, row_number() over (partition by ref order by o, entity_id) n from k where ref <> '') where n = 1), ends as (select record_id, 'source' side, lower(trim(source_entity_id)) ref from rl union all select record_id, 'target', lower(trim(target_entity_id)) from rl) select record_id, side, entity_id, ['id', 'name', 'alias'][o + 1] \"by\" from ends join m using (ref) where ref <> ''",
     "jon09_documents_without_entities": "select distinct doc_id from kb_documents where doc_id not in (select regexp_replace(chunk_id, '_chunk_[0-9]+$', '') from extracted_entities where chunk_id is not null)",
     "jon10_orphan_entities": f"with {_DG} select entity_id, name, type from dg where degree = 0",
     "jon11_overlap": f"with {_R}, n as (select distinct unnest(source_chunk_ids) c from graph_contexts) select distinct entity_id from (select entity_id, unnest(source_chunk_ids) c from r) where c in (select c from n where c is not null)",
@@ -284,16 +320,16 @@ SQL = {
     "agg10_type_shares": f"with {_R} select type, count(*) n, round(100.0 * count(*) / sum(count(*)) over (), 4)::double \"share\" from r group by 1",
     "agg11_degree_stats": f"with {_DG} select min(degree) least, max(degree) most, round(avg(degree), 6) mean, round(quantile_cont(degree, 0.5), 6) p50, round(quantile_cont(degree, 0.9), 6) p90, round(quantile_cont(degree, 0.99), 6) p99, round(stddev_samp(degree), 6) sd from dg",
     "agg12_orphan_rate": f"with {_DG} select type, count(*) n, count(*) filter (degree = 0) n_orphans, round(count(*) filter (degree = 0) / count(*), 6) rate from dg group by 1",
-    "agg13_name_lengths": f"with {_DG} select case when length(name) <= 5 then '1-5' when length(name) <= 10 then '6-10' when length(name) <= 20 then '11-20' when length(name) <= 30 then '21-30' when length(name) <= 50 then '31-50' else '51+' end bucket, count(*) filter (degree = 0) n_orphans, count(*) filter (degree > 0) n_connected from dg group by 1",
+    "agg13_name_lengths": f"with {_DG} select case when length(name) <= 5 then '1-5' when length(name) <= 10 then '6-10' when length(name) <= 20 then '11-20' when length(name) <= 30 then '21-30' when length(name) <= 50 then '31-50' else '51+' end bucket, count(*) filter (degree = 0) n_orphans, count(*) filter (degree > 0) n_connected, min(length(name))::int least, max(length(name))::int most, round(avg(length(name)), 6) mean, (list_sort(list(length(name)) filter (name is not null)))[count(name) // 2 + 1]::int median from dg group by 1",
     "agg14_common_names": f"with {_R} select name, count(*) n from r group by 1 order by n desc, name limit 20",
-    "agg24_cross_referenced": f"with {_R} select count(*) filter (n > 1) n_cross_referenced, count(*) n_entities from (select entity_id, count(distinct c) n from (select entity_id, unnest(source_chunk_ids) c from r) where trim(c) <> '' group by 1)",
+    "agg24_cross_referenced": f"with {_R}, x as (select entity_id, count(distinct c) n from (select entity_id, unnest(source_chunk_ids) c from r) where trim(c) <> '' group by 1), o as (select entity_id, max(coalesce(length(trim(description)), 0)) d, max(case when not isnan(confidence) and confidence between 0 and 1 then confidence end) conf from r group by 1) select count(*) filter (n > 1) n_cross_referenced, count(*) filter (d = 0) n_undescribed, count(*) filter (coalesce(conf, 0) < 0.5) n_doubtful, count(*) n_entities from o left join x using (entity_id)",
     "top07_hubs": f"with {_DG} select entity_id, name, degree from dg order by degree desc, entity_id limit 25",
     "grf05_edges": f"with {_ED} select * from ed",
     "grf10_prune": f"with {_R}, dead as (select distinct doc_id || '_chunk_' || chunk_index c from kb_chunks where doc_id in (select doc_id from kb_documents where deleted_at is not null)), x as (select record_id, unnest(case when source_chunk_ids is null or len(source_chunk_ids) = 0 then [null] else source_chunk_ids end) c from r), g as (select record_id, count(c) n, count(*) filter (c in (select c from dead)) n_hit from x group by 1) select * from (select record_id, case when n = n_hit then 'delete' when n_hit > 0 then 'prune' end action, n - n_hit n_left from g) where action is not null",
     "grf11_orphan_relations": f"with {_E}, {_RL} select record_id from rl where source_entity_id is null or target_entity_id is null or source_entity_id not in (select entity_id from ent) or target_entity_id not in (select entity_id from ent) or coalesce(len(source_chunk_ids), 0) <= 0",
-    "grf12_noise_orphans": None,
-    "grf13_scorecard": f"with {_DG}, a as (select count(*) n_entities, count(*) filter (degree = 0) n_orphans from dg), b as (select count(*) n_edges from ed) select n_entities, n_edges, round(n_edges / n_entities, 6) ratio, round(n_orphans / n_entities * 100, 6) orphan_rate, case when n_orphans / n_entities * 100 < 20 then 'good' when n_orphans / n_entities * 100 < 40 then 'moderate' else 'poor' end grade from a, b",
+    "grf12_noise_orphans": f"with {_DG}, x as (select type, {NOISE_SQL} noise from (select type, lower(trim(coalesce(name, ''))) n from dg where degree = 0)) select type, count(*) filter (noise <> 'sound') n_noise, count(*) n_orphans from x group by 1",
+    "grf13_scorecard": f"with {_DG}, a as (select count(*) n_entities, count(*) filter (degree = 0) n_orphans from dg), b as (select count(*) n_edges from ed) select n_entities, n_edges, round(n_edges / n_entities, 6) ratio, round(n_orphans / n_entities * 100, 6) orphan_rate from a, b",
     "hsh01_relation_ids": f"with {_RL} select record_id, relation_id, concat_ws('__', source_entity_id, type, target_entity_id) expected_id from rl where concat_ws('__', source_entity_id, type, target_entity_id) <> relation_id",
 }
-QUERIES = {n: globals()[n] for n in [*SQL, "grf06_communities", "grf05_components"]}
+QUERIES = {n: globals()[n] for n in [*SQL, "grf06_communities", "grf07_parents", "grf08_inner_relations", "snk08_membership", "top06_communities", "grf05_components"]}
 SQL = {k: v for k, v in SQL.items() if v}

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from weftline.functions.text import token_count
+from weftline.functions.text import slugify, token_count
 from weftline.operators.graph import entity_records, relation_records
 from weftline.operators.retrieval import live_chunks, live_documents
-from weftline.session import pick, spread, table
+from weftline.operators.skew import hub_join
+from weftline.session import cut_table, pick, spread, table
 from weftline.sources.readers import html_sections, markdown_sections
 
 _END = re.compile(r"(?<=[.!?])\s+")
@@ -78,8 +79,19 @@ def chk01_fixed_chunks(spark, sf_dir):
     return chunk_sections(docs, "doc_id", 64, 16, 10).select("doc_id", "chunk_index", "token_count", F.md5("chunk_text").alias("digest"))
 
 
+def sections_or_whole(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, section_no, anchor, text: the sections of Markdown texts; a text without a heading is one section, number 0."""
+    cut = markdown_sections(docs, id_col, text_col).select(id_col, "section_no", slugify(F.col("heading")).alias("anchor"), "text")
+    plain = docs.filter(~F.col(text_col).rlike(r"(?m)^#{1,6}\s+\S")).select(id_col, F.lit(0).cast("long").alias("section_no"), F.lit(None).cast("string").alias("anchor"), F.col(text_col).alias("text"))
+    return cut.unionByName(plain)
+
+
 def chk02_section_chunks(spark, sf_dir):
-    return chunk_sections(markdown_sections(_texts(spark, sf_dir), "doc_id", "text"), "doc_id", 64, 16, 10).select("doc_id", "chunk_index", "section_no", "token_count", F.md5("chunk_text").alias("digest"))
+    """Texts cut section by section, those without a heading as a whole; the anchor is the heading's, else the chunk's number."""
+    s = cut_table(sections_or_whole(_texts(spark, sf_dir), "doc_id", "text"))
+    chunks = chunk_sections(s, "doc_id", 64, 16, 10).join(s.select("doc_id", "section_no", "anchor"), ["doc_id", "section_no"])
+    anchor = F.coalesce("anchor", F.concat(F.lit("chunk-"), F.col("chunk_index").cast("string")))
+    return chunks.select("doc_id", "chunk_index", "section_no", anchor.alias("anchor"), "token_count", F.md5("chunk_text").alias("digest"))
 
 
 def snk01_upsert_documents(spark, sf_dir):
@@ -107,7 +119,8 @@ def snk10_cascade_delete(spark, sf_dir):
     ent = entity_records(spark, sf_dir).select("entity_id", of_chunk.alias("doc_id"))
     left = ent.join(gone, "doc_id", "left_anti")
     alive = left.select("entity_id").unionByName(pick(table(spark, sf_dir, "kb_entities"), "entity_id")).distinct()
-    rel = relation_records(spark, sf_dir).join(alive.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id", "left_semi").join(alive.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id", "left_semi")
+    ends = relation_records(spark, sf_dir).select("record_id", "source_entity_id", "target_entity_id")
+    rel = hub_join(ends.join(alive.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id", "left_semi"), alive.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id")
     cache = pick(table(spark, sf_dir, "query_cache"), "cache_key", "source_doc_ids").dropDuplicates(["cache_key"])
     stale = cache.select("cache_key", F.explode("source_doc_ids").alias("doc_id")).join(gone, "doc_id", "left_semi").select("cache_key").distinct()
     count = lambda name, df: df.agg(F.count(F.lit(1)).alias("n_left")).select(F.lit(name).alias("table_name"), "n_left")
@@ -115,9 +128,15 @@ def snk10_cascade_delete(spark, sf_dir):
 
 
 def snk13_embedding_texts(spark, sf_dir):
-    """Texts to embed again, cut at 30,000 characters: of entities the name and description, each text once."""
-    e = entity_records(spark, sf_dir)
-    return e.select(F.left(F.concat("name", F.lit(" "), F.coalesce("description", F.lit(""))), F.lit(30000)).alias("t")).filter("t is not null").groupBy(F.md5("t").alias("digest")).agg(F.count(F.lit(1)).alias("n_records"))
+    """Texts to embed again, cut at 30,000 characters, each once a kind: of chunks the text, of entities the name and
+    description, of relations the type and evidence. Rows changed since July 2025 were done before."""
+    todo = lambda df, at: df.filter(F.col(at) < F.lit("2025-07-01").cast("timestamp"))
+    both = lambda a, b: F.concat(F.col(a), F.lit(" "), F.coalesce(b, F.lit("")))
+    ck = todo(live_chunks(spark, sf_dir, "chunk_text", "updated_at"), "updated_at").select(F.lit("chunk").alias("kind"), F.col("chunk_text").alias("t"))
+    en = todo(entity_records(spark, sf_dir), "updated_at").select(F.lit("entity").alias("kind"), both("name", "description").alias("t"))
+    rl = todo(relation_records(spark, sf_dir), "created_at").select(F.lit("relation").alias("kind"), both("type", "evidence").alias("t"))
+    every = ck.unionByName(en).unionByName(rl).filter("t is not null").withColumn("t", F.left("t", F.lit(30000)))
+    return every.groupBy("kind", F.md5("t").alias("digest")).agg(F.count(F.lit(1)).alias("n_records"))
 
 
 def win05_renumber(spark, sf_dir):
@@ -141,7 +160,7 @@ SQL = {
     "snk01_upsert_documents": f"with {_D}, k as (select concat_ws('|', source_uri, doc_version) as \"key\", max({{u: updated_at, t: title, a: author}}) filter (updated_at < timestamptz '2025-01-01 00:00:00+00') o, max({{u: updated_at, t: title, a: author}}) n from d group by 1) select \"key\", case when n.u >= timestamptz '2025-01-01 00:00:00+00' then coalesce(n.t, o.t) else o.t end title, case when n.u >= timestamptz '2025-01-01 00:00:00+00' then coalesce(o.a, n.a) else o.a end author, o is not null existed from k",
     "snk02_replace_chunks": f"with {_CK}, n as (select * from ck where updated_at >= timestamptz '2025-07-01 00:00:00+00') select doc_id, doc_version, count(*) n_chunks, max(chunk_index) last_index from (select * from ck where (doc_id, doc_version) not in (select (doc_id, doc_version) from n) union all select * from n) group by 1, 2",
     "snk10_cascade_delete": f"with {_R}, gone as (select doc_id from kb_documents where deleted_at is not null), l as (select entity_id from r where regexp_replace(chunk_id, '_chunk_[0-9]+$', '') not in (from gone)), alive as (select entity_id from l union select entity_id from kb_entities), q as (select distinct on (cache_key) * from query_cache) select 'kb_chunks' table_name, count(*) n_left from (select distinct chunk_id, doc_id from kb_chunks) where doc_id not in (from gone) union all select 'extracted_entities', count(*) from l union all select 'extracted_relations', count(*) from rl where source_entity_id in (from alive) and target_entity_id in (from alive) union all select 'query_cache', count(*) from q where cache_key not in (select cache_key from (select cache_key, unnest(source_doc_ids) x from q) where x in (from gone))",
-    "snk13_embedding_texts": f"with {_R} select md5(substring(name || ' ' || coalesce(description, ''), 1, 30000)) digest, count(*) n_records from r where name is not null group by 1",
+    "snk13_embedding_texts": f"with {_R}, {_CK}, t as (select 'chunk' kind, chunk_text t, updated_at u from ck union all select 'entity', name || ' ' || coalesce(description, ''), updated_at from r union all select 'relation', type || ' ' || coalesce(evidence, ''), created_at from rl) select kind, md5(substring(t, 1, 30000)) digest, count(*) n_records from t where t is not null and u < timestamptz '2025-07-01 00:00:00+00' group by 1, 2",
     "win05_renumber": f"with {_CK} select chunk_id, doc_id, (row_number() over (partition by doc_id order by chunk_index, chunk_id) - 1)::int n from ck where token_count >= 10",
     "win04_two_per_url": f"with {_CK} select url, chunk_id, n from (select *, row_number() over (partition by url order by md5('7:' || chunk_id), chunk_id) n from (select chunk_id, regexp_replace(citation_url, '#.*$', '') url from ck where citation_url is not null)) where n <= 2",
 }

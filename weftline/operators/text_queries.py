@@ -28,11 +28,9 @@ def fil03_year_month_range(spark, sf_dir):
 
 
 def fil06_clean_chunks(spark, sf_dir):
-    """Chunks that read as prose: long enough, few marks and links, two sentence ends or more."""
+    """Chunks that read as prose."""
     ck = live_chunks(spark, sf_dir, "chunk_text", "citation_url")
-    t = F.col("chunk_text")
-    ok = ~F.coalesce(F.col("citation_url"), F.lit("")).rlike("[?&](?:q|s|search)=") & (F.length(F.trim(t)) >= 100) & (F.regexp_count(t, F.lit("<")) <= 10) & (F.regexp_count(t, F.lit("http")) <= 5) & (F.regexp_count(t, F.lit("[.?!]")) >= 2)
-    return ck.filter(ok).select("chunk_id", F.regexp_count(t, F.lit("[.?!]")).alias("n_ends"))
+    return ck.filter(T.is_clean(F.col("chunk_text"), F.col("citation_url"))).select("chunk_id", F.regexp_count("chunk_text", F.lit("[.?!]")).alias("n_ends"))
 
 
 def fil07_noise_class(spark, sf_dir):
@@ -49,14 +47,23 @@ def fil08_self_relations(spark, sf_dir):
 
 
 def fil09_suspicious_ids(spark, sf_dir):
-    return pick(table(spark, sf_dir, "extracted_relations"), "record_id", "source_entity_id").distinct().filter(~F.col("source_entity_id").rlike("^[0-9a-f]{16}$")).select("record_id", "source_entity_id")
+    """Ends of relations whose id was made up: a letter e and a number, or a rule's name."""
+    r = pick(table(spark, sf_dir, "extracted_relations"), "record_id", "source_entity_id", "target_entity_id").distinct()
+    ends = r.select("record_id", F.explode(F.array("source_entity_id", "target_entity_id")).alias("entity_id"))
+    return ends.groupBy(F.when(F.col("entity_id").rlike("^e[0-9]+$"), "numbered").when(F.col("entity_id").rlike("^rule_"), "rule").when(F.col("entity_id").rlike("^[0-9a-f]{16}$"), "digest").otherwise("other").alias("form")).agg(F.count(F.lit(1)).alias("n_ends"))
+
+
+# fixed values: parts of addresses with their category, the first that occurs counts
+URL_CATEGORIES = {"/news/": "news", "/events/": "events", "/awards/": "awards"}
 
 
 def fil10_url_category(spark, sf_dir):
-    u = F.col("source_uri")
-    host = F.regexp_extract(u, "^[a-z0-9]+://([^/.]+)", 1)
-    kind = F.when(u.startswith("s3:"), F.regexp_extract(u, "^s3://[^/]+/([^/]+)/", 1)).when(host != "", host).otherwise("pages")
-    return live_documents(spark, sf_dir, "source_uri").groupBy(kind.alias("url_category")).agg(F.count(F.lit(1)).alias("n"))
+    """Documents by category of their address (pages if no pattern occurs) and year and month of the last change."""
+    u, kind = F.col("source_uri"), F.lit("pages")
+    for part, name in reversed(URL_CATEGORIES.items()):
+        kind = F.when(u.contains(part), name).otherwise(kind)
+    d = live_documents(spark, sf_dir, "source_uri", "updated_at").withColumn("lastmod", F.date_format("updated_at", "yyyy-MM-dd"))
+    return d.groupBy(kind.alias("url_category"), F.substring("lastmod", 1, 4).cast("int").alias("year"), F.substring("lastmod", 6, 2).cast("int").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fil11_contains(spark, sf_dir):
@@ -109,10 +116,18 @@ def str04_token_estimate(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy("source").agg(F.sum(F.floor(F.length("text") / 4)).alias("n_tokens"))
 
 
+# fixed values: forms of identifiers and dates in a text, by label
+IDENTIFIERS = {"ISWC": r"\bT-?[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]\b", "ISRC": r"\b[A-Z]{2}-?[A-Za-z0-9_]{3}-?[0-9]{2}-?[0-9]{5}\b"}
+DATES = [r"\b[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}\b", r"\b[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4}\b", r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+[0-9]{1,2},?\s+[0-9]{4}\b"]
+
+
 def str05_codes(spark, sf_dir):
-    """Identifiers in the texts, each once a document, with the canonical spelling."""
-    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(T-[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]|Z[A-Z]-[A-Z][0-9][A-Z]-[0-9]{2}-[0-9]{5})"), F.lit(1))))
-    return _docs(spark, sf_dir).select("doc_id", found.alias("code")).select("doc_id", "code", F.translate("code", "-.", "").alias("canonical_key"))
+    """Identifiers and dates in the texts, each once a document and label, with the canonical spelling and the first place."""
+    every = [*IDENTIFIERS.items(), *(("DATE", d) for d in DATES)]
+    labelled = lambda k, r: F.transform(F.regexp_extract_all("text", F.lit(f"({r})"), F.lit(1)), lambda v: F.struct(F.lit(k).alias("label"), v.alias("code")))
+    found = F.flatten(F.array(*[labelled(k, r) for k, r in every]))
+    rows = _docs(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(found)).alias("x"))
+    return rows.select("doc_id", "x.label", "x.code", F.translate("x.code", "-.", "").alias("canonical_key"), F.expr("instr(text, x.code)").alias("place"))
 
 
 def str06_clean_text(spark, sf_dir):
@@ -140,12 +155,21 @@ def hsh02_cache_keys(spark, sf_dir):
 
 
 def jsn01_citation_sources(spark, sf_dir):
-    """Sources cited by each cached answer; bad JSON cites nothing."""
-    q = pick(table(spark, sf_dir, "query_cache"), "cache_key", "citations").distinct().filter(F.try_parse_json("citations").isNotNull())
-    items = F.from_json("citations", "array<struct<sourceId:string,title:string>>")
+    """Sources cited by each cached answer, whose citations are taken out of prose and fences; bad JSON cites nothing."""
+    prose = F.concat(F.lit("Here are the sources:\n```json\n"), F.col("citations"), F.lit("\n```\nI hope this helps."))
+    q = pick(table(spark, sf_dir, "query_cache"), "cache_key", "citations").distinct().select("cache_key", T.json_part(prose).alias("part")).filter(F.try_parse_json("part").isNotNull())
+    items = F.from_json("part", "array<struct<sourceId:string,title:string>>")
     return q.select("cache_key", F.explode(items).alias("c")).filter("c.sourceId is not null").groupBy(F.col("c.sourceId").alias("doc_id")).agg(F.countDistinct("cache_key").alias("n_answers"))
 
 
+def jsn02_layers(spark, sf_dir):
+    """Citations parsed in layers: the whole, else the part between brackets, else every object that is valid by itself."""
+    q = pick(table(spark, sf_dir, "query_cache"), "cache_key", "citations").dropDuplicates(["cache_key"]).filter("citations is not null")
+    n_items = F.size(T.json_objects(F.col("citations")))
+    layer = F.when(F.try_parse_json("citations").isNotNull(), "direct").when(F.try_parse_json(T.json_part(F.col("citations"))).isNotNull(), "part").when(n_items > 0, "items").otherwise("none")
+    return q.select("cache_key", layer.alias("layer"), n_items.alias("n_items"))
+
+
 def set02_keyword_union(spark, sf_dir):
     """Different words of the original and the rewritten query, in order of appearance."""
     from weftline.operators.retrieval import terms
@@ -174,18 +198,20 @@ def top08_hash_sample(spark, sf_dir):
 _CK = "ck as (select distinct on (chunk_id) * from kb_chunks where deleted_at is null)"
 _D = "d as (select distinct on (doc_id) * from kb_documents where deleted_at is null)"
 _TERMS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
-_NOISE = """case when n = '' then 'empty' when length(n) = 1 then 'single_char' when n in ('he','she','it','they','we','you','him','her','them','us','who','this','that') then 'pronoun' when n in ('the','a','an') then 'article'
- when n in ('entity','unknown','none','null','n/a','person','organization','work','date','territory','music','song') then 'generic_term' when regexp_matches(n, '^(?:[0-9]{1,2}:[0-9]{2}|[0-9]{1,2} ?(?:am|pm)|monday|tuesday|wednesday|thursday|friday|saturday|sunday)$') then 'time_fragment'
- when regexp_matches(n, '^[0-9][0-9.,]*$') then 'pure_number' when regexp_matches(n, '^[0-9]+(?:st|nd|rd|th)$') then 'ordinal' else 'sound' end"""
+_LIST = lambda ws: ", ".join(f"'{w}'" for w in ws)
+_CLOCK = "[0-9]{1,2}:[0-9]{2}\\s*(?:am|pm)?"
+NOISE_SQL = f"""case when n = '' then 'empty' when length(n) = 1 then 'single_char' when n in ({_LIST(T.PRONOUNS)}) then 'pronoun' when n in ({_LIST(T.ARTICLES)}) then 'article'
+  when n in ({_LIST(T.GENERIC_TERMS)}) then 'generic_term' when regexp_matches(n, '^{_CLOCK}(?:\\s*-\\s*{_CLOCK})?$') then 'time_fragment' when regexp_matches(n, '^[0-9]+(?:\\.[0-9]+)?%?$') then 'pure_number'
+  when regexp_matches(n, '^[0-9]+(?:st|nd|rd|th)$') then 'ordinal' else 'sound' end"""
 SQL = {
     "fil01_strict_citation": f"with {_CK} select chunk_id, doc_id, citation_year, citation_month from ck where citation_url is not null and citation_title is not null and citation_year is not null and citation_month is not null and (page_start is not null or section_id is not null or anchor_id is not null)",
     "fil02_equality": f"with {_D} select doc_id, category, lang, source_type from d where category = 'faq' and lang = 'en' and source_type = 'crawler'",
     "fil03_year_month_range": f"with {_CK} select chunk_id, citation_year, citation_month from ck where citation_year between 2018 and 2022 and citation_month between 1 and 6",
-    "fil06_clean_chunks": f"with {_CK} select chunk_id, (length(chunk_text) - length(regexp_replace(chunk_text, '[.?!]', '', 'g')))::int n_ends from ck where not regexp_matches(coalesce(citation_url, ''), '[?&](?:q|s|search)=') and length(trim(chunk_text)) >= 100 and length(chunk_text) - length(replace(chunk_text, '<', '')) <= 10 and (length(chunk_text) - length(replace(chunk_text, 'http', ''))) / 4 <= 5 and length(chunk_text) - length(regexp_replace(chunk_text, '[.?!]', '', 'g')) >= 2",
-    "fil07_noise_class": f"select {_NOISE} noise, count(*) n from (select lower(trim(coalesce(name, ''))) n from (select distinct record_id, name from extracted_entities)) group by 1",
+    "fil06_clean_chunks": f"with {_CK} select chunk_id, (length(chunk_text) - length(regexp_replace(chunk_text, '[.?!]', '', 'g')))::int n_ends from ck where not regexp_matches(lower(coalesce(citation_url, '')), '/search\\b|[?&]q=|[?&]query=|[?&]search=|/results\\b') and length(trim(chunk_text)) >= 100 and length(chunk_text) - length(replace(chunk_text, '<', '')) <= 10 and (length(chunk_text) - length(replace(chunk_text, 'http', ''))) / 4 <= 5 and length(chunk_text) - length(regexp_replace(chunk_text, '[.?!]', '', 'g')) >= 2 and (length(chunk_text) - length(regexp_replace(lower(chunk_text), '{T.NAVIGATION}', '', 'g'))) / greatest(length(trim(chunk_text)), 1) <= 0.2",
+    "fil07_noise_class": f"select {NOISE_SQL} noise, count(*) n from (select lower(trim(coalesce(name, ''))) n from (select distinct record_id, name from extracted_entities)) group by 1",
     "fil08_self_relations": "with ids as (select entity_id from extracted_entities union select entity_id from kb_entities) select distinct record_id, source_entity_id, target_entity_id from extracted_relations where source_entity_id <> target_entity_id and source_entity_id in (from ids) and target_entity_id in (from ids)",
-    "fil09_suspicious_ids": "select distinct record_id, source_entity_id from extracted_relations where not regexp_matches(source_entity_id, '^[0-9a-f]{16}$')",
-    "fil10_url_category": f"with {_D} select case when source_uri like 's3:%' then regexp_extract(source_uri, '^s3://[^/]+/([^/]+)/', 1) when regexp_extract(source_uri, '^[a-z0-9]+://([^/.]+)', 1) <> '' then regexp_extract(source_uri, '^[a-z0-9]+://([^/.]+)', 1) else 'pages' end url_category, count(*) n from d group by 1",
+    "fil09_suspicious_ids": "select case when regexp_matches(e, '^e[0-9]+$') then 'numbered' when starts_with(e, 'rule_') then 'rule' when regexp_matches(e, '^[0-9a-f]{16}$') then 'digest' else 'other' end form, count(*) n_ends from (select record_id, unnest([source_entity_id, target_entity_id]) e from (select distinct record_id, source_entity_id, target_entity_id from extracted_relations)) group by 1",
+    "fil10_url_category": f"with {_D} select case when contains(source_uri, '/news/') then 'news' when contains(source_uri, '/events/') then 'events' when contains(source_uri, '/awards/') then 'awards' else 'pages' end url_category, year(updated_at)::int as year, month(updated_at)::int as month, count(*) n from d group by 1, 2, 3",
     "fil11_contains": "select distinct entity_id, name from extracted_entities where contains(lower(name), 'choral')",
     "fil12_row_errors": "select * from (select id, concat_ws(',', case when prompt is null or trim(prompt, ' ') = '' then 'prompt' end, case when reference is null or trim(reference, ' ') = '' then 'reference' end, case when reference_urls is null then 'urls' end, case when metadata.category is null then 'category' end) errors from (select distinct on (id) * from agent_eval_example)) where errors <> ''",
     "prj02_defaults": f"with {_D} select doc_id, coalesce(category, 'unknown') category, coalesce(lower(trim(lang)), 'unknown') lang, coalesce(source_type, 'crawler') source_type, coalesce(published_year, 1970) as year, coalesce(published_month, 1) as month from d",
@@ -196,8 +222,9 @@ SQL = {
     "str02_token_counts": f"with {_CK} select doc_id, sum(len(list_filter(string_split_regex(coalesce(chunk_text, ''), '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{0b}}]+'), lambda x: x <> '')))::bigint n_tokens, count(*) n_chunks from ck group by 1",
     "str03_sentences": "select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0b\\f\\r]+', '\\1@%@', 'g'), '@%@'), lambda x: x <> ''))::int n_sentences from documents where text is not null",
     "str04_token_estimate": "select source, sum(length(text) // 4)::bigint n_tokens from documents group by 1",
-    "str05_codes": "select doc_id, code, translate(code, '-.', '') canonical_key from (select distinct doc_id, unnest(regexp_extract_all(text, 'T-[0-9]{3}\\.[0-9]{3}\\.[0-9]{3}-[0-9]|Z[A-Z]-[A-Z][0-9][A-Z]-[0-9]{2}-[0-9]{5}')) code from documents)",
-    "str06_clean_text": f"with {_CK} select chunk_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(chunk_text, '<[^>]+>', ' ', 'g'), '[›»>]+', ' ', 'g'), '\\n[\\s\\x0b]*\\n+', chr(10), 'g'), '[ \\t]+', ' ', 'g'))) digest from ck",
+    "str05_codes": "with m as (" + " union ".join(f"select doc_id, text, '{k}' as label, unnest(regexp_extract_all(text, '{r}')) code from documents" for k, r in [*IDENTIFIERS.items(), *(("DATE", d) for d in DATES)]) + ") select doc_id, label, code, translate(code, '-.', '') canonical_key, instr(text, code)::int place from (select distinct doc_id, text, label, code from m)",
+    "jsn02_layers": "with q as (select distinct on (cache_key) cache_key, citations c from query_cache where citations is not null), p as (select cache_key, c, list_filter(regexp_extract_all(c, '\\{[^{}]*\\}'), lambda x: json_valid(x)) items, case when regexp_matches(c, '^[^{\\[]*\\{') then regexp_extract(c, '(?s)\\{.*\\}') when regexp_matches(c, '^[^{\\[]*\\[') then regexp_extract(c, '(?s)\\[.*\\]') end part from q) select cache_key, case when json_valid(c) then 'direct' when json_valid(nullif(part, '')) then 'part' when len(items) > 0 then 'items' else 'none' end layer, len(items)::int n_items from p",
+    "str06_clean_text": f"with {_CK} select chunk_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(chunk_text, '<[^>]+>', ' ', 'g'), '[\\s\\x0b]*[›»>][\\s\\x0b]*', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')) digest from ck",
     "str08_url_parts": f"with {_D} select doc_id, regexp_replace(string_split(source_uri, '/')[-1], '\\.[^.]+$', '') stem, regexp_extract(source_uri, '\\.([a-z]+)$', 1) \"extension\" from d",
     "str12_plain_names": "select record_id, trim(replace(lower(canonical_key), '_', ' ')) plain from (select distinct record_id, canonical_key from extracted_entities)",
     "hsh01_stable_ids": "select record_id, substring(sha256(coalesce(nullif(canonical_key, ''), lower(name)) || '::' || type), 1, 16) stable_id from (select distinct record_id, name, canonical_key, type from extracted_entities)",
