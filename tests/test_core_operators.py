@@ -174,6 +174,17 @@ def test_levels_parents_and_inner_weight(spark):
     assert G.label_communities(e.limit(0)).count() == 0
 
 
+def test_cut_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from weftline import session
+
+    df = session.cut_table(spark.range(5))
+    place = Path(session._TABLES[-1].removeprefix("file:"))
+    assert df.count() == 5 and place.exists()
+    assert session.clear_tables(spark) >= 1 and not place.exists() and session.clear_tables(spark) == 0
+
+
 def test_hub_join_equals_a_join(spark):
     rnd = random.Random(2)
     big = spark.createDataFrame([(i, "hub" if rnd.random() < 0.4 else None if rnd.random() < 0.1 else f"k{rnd.randint(0, 30)}") for i in range(3000)], "i int, k string")
@@ -236,8 +247,12 @@ def test_replacing_stream_adds_nothing_twice(spark, tmp_path):
     rows("1", 2).coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
     stream = P.stream_files(spark, str(tmp_path / "in" / "*"), "doc_id string, doc_version string, chunk_index int", 1)
     P.replace_chunks(spark, stream, str(tmp_path / "out"))
-    last = sorted(p.name for p in (tmp_path / "out").iterdir())[-1]
-    assert spark.read.parquet(str(tmp_path / "out" / last)).count() in (2, 3) and last == "v1"
+    rows("1", 2).withColumn("doc_id", F.lit("other")).coalesce(1).write.parquet(str(tmp_path / "in" / "c"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["doc_id"] for r in out.collect()} == {"d"} and out.count() in (2, 3)
+    P.replace_chunks(spark, P.stream_files(spark, str(tmp_path / "in" / "c"), "doc_id string, doc_version string, chunk_index int"), str(tmp_path / "out"))
+    P.replace_chunks(spark, P.stream_files(spark, str(tmp_path / "in" / "c"), "doc_id string, doc_version string, chunk_index int"), str(tmp_path / "out"))
+    assert {r["doc_id"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("doc_id").count().collect()}["other"] == 2
 
 
 def test_entry_has_columns_and_names():

@@ -38,11 +38,15 @@ def strip(c: Column | str) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir. Only where it names none (tests on one machine) a
-    temporary folder is taken."""
+    """The cluster names a shared folder in spark.checkpoint.dir. Only where it names none and Spark runs on one machine
+    (tests) a temporary folder is taken; on a cluster without the setting this is an error, since no executor could read
+    what another one wrote."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not place and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -58,10 +62,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: Tables written by cut_table in this process.
+_TABLES: list[str] = []
+
+
 def cut_table(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a compressed table written in the shared checkpoint folder: for wide rows, which a
-    checkpoint would store uncompressed, and for rows that several later steps read."""
+    checkpoint would store uncompressed, and for rows that several later steps read. clear_tables deletes them."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Deletes the tables that cut_table wrote in this process, when their results are no longer needed; their number."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n

@@ -9,10 +9,11 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import ensure_checkpoint_dir
+from weftline.session import cut_table, ensure_checkpoint_dir
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -40,6 +41,8 @@ def windowed_counts(spark: SparkSession, events: DataFrame, window: str = "1 day
     return spark.read.schema("start timestamp_ntz, event_type string, n bigint, total double").parquet(f"{place}/out")
 
 
+#: Memory of a session reaches back so many microseconds from its last event.
+MEMORY = 30 * 24 * 3600 * 1_000_000
 BUFFER_STATE = "n bigint, ids array<bigint>, at array<bigint>"
 
 
@@ -50,6 +53,7 @@ def _buffer(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
         n += len(b)
         kept += list(zip(b["micros"].tolist(), b["event_id"].tolist()))
     kept = sorted(kept)[-10:]
+    kept = [x for x in kept if x[0] >= kept[-1][0] - MEMORY]
     state.update((int(n), [int(i) for _, i in kept], [int(t) for t, _ in kept]))
     shown = kept if n <= 10 else kept[-5:]
     yield pd.DataFrame({"user_id": [key[0]], "kept": [",".join(str(i) for i in sorted(i for _, i in shown))], "n_summarised": [max(0, n - 5) if n > 10 else 0]})
@@ -57,7 +61,7 @@ def _buffer(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
 
 def session_memory(spark: SparkSession, events: DataFrame) -> DataFrame:
     """user_id, kept, n_summarised: the buffer of each user after the last event (ten at most, five once there were
-    more). The state of a user is ten ids, however many events there are."""
+    more), none older than MEMORY before the last one. The state of a user is ten ids, however many events there are."""
     place = _place(spark, "memory")
     rows = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
     memory = rows.groupBy("user_id").applyInPandasWithState(_buffer, "user_id bigint, kept string, n_summarised bigint", BUFFER_STATE, "update", "NoTimeout")
@@ -66,25 +70,40 @@ def session_memory(spark: SparkSession, events: DataFrame) -> DataFrame:
     return every.groupBy("user_id").agg(F.max_by(F.struct("kept", "n_summarised"), "batch").alias("last")).select("user_id", "last.*")
 
 
+#: Parts of the table of chunks, by the hash of the document.
+PARTS = 16
+
+
 def replace_chunks(spark: SparkSession, chunks: DataFrame, target: str) -> None:
-    """Chunks (doc_id, doc_version, ...) replace those of the same document and version in a table partitioned by
-    day of processing: a batch that is delivered again writes the same snapshot again, nothing is added twice."""
-    place = _place(spark, "replace")
+    """Chunks (doc_id, doc_version, ...) replace those of the same document and version in a table partitioned by the hash
+    of the document. A batch reads and rewrites only the parts that it touches; delivered again it writes the same rows again."""
 
     def write(df: DataFrame, i: int) -> None:
-        path = f"{target}/v{i}"
-        if i and spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v{i - 1}").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v{i - 1}")):
-            old = spark.read.schema(df.schema).parquet(f"{target}/v{i - 1}")
-            df = old.join(df.select("doc_id", "doc_version").distinct(), ["doc_id", "doc_version"], "left_anti").select(df.columns).unionByName(df)
-        df.write.mode("overwrite").parquet(path)
+        df = df.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+        try:
+            old = spark.read.schema(df.schema).parquet(target)
+            touched = old.join(F.broadcast(df.select("part").distinct()), "part", "left_semi")
+            df = touched.join(df.select("doc_id", "doc_version").distinct(), ["doc_id", "doc_version"], "left_anti").select(df.columns).unionByName(df)
+        except AnalysisException:  # the first batch: there is no table yet
+            pass
+        cut_table(df).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(target)
 
-    run_to_end(chunks, "append", write, place)
+    run_to_end(chunks, "append", write, _place(spark, "replace"))
 
 
 def stm01_windowed_stream(spark, sf_dir):
     return windowed_counts(spark, stream_files(spark, f"{sf_dir}/event[s].parquet", EVENTS))
 
 
+def stm02_replaced_chunks(spark, sf_dir):
+    """The landed chunks after their stream was written: chunks of each document and version."""
+    place = _place(spark, "chunks")
+    landed = stream_files(spark, f"{sf_dir}/kb_chunk[s].parquet", "chunk_id string, doc_id string, doc_version string, chunk_index int")
+    replace_chunks(spark, landed, f"{place}/out")
+    out = spark.read.schema("chunk_id string, doc_id string, doc_version string, chunk_index int, part int").parquet(f"{place}/out")
+    return out.groupBy("doc_id", "doc_version").agg(F.countDistinct("chunk_id").alias("n_chunks"))
+
+
 def stm03_session_memory(spark, sf_dir):
     return session_memory(spark, stream_files(spark, f"{sf_dir}/event[s].parquet", EVENTS))
 
@@ -92,6 +111,7 @@ def stm03_session_memory(spark, sf_dir):
 _E = "e as (select distinct on (event_id) * from events)"
 SQL = {
     "stm01_windowed_stream": f"with {_E} select date_trunc('day', ts)::timestamp as start, event_type, count(*) n, round(sum(value), 4) total from e group by 1, 2",
-    "stm03_session_memory": f"with {_E}, n as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) back, count(*) over (partition by user_id) n from e) select user_id, string_agg(event_id::varchar, ',' order by event_id) kept, case when n > 10 then n - 5 else 0 end n_summarised from n where n <= 10 or back <= 5 group by user_id, n",
+    "stm02_replaced_chunks": "select doc_id, doc_version, count(distinct chunk_id) n_chunks from kb_chunks where doc_id is not null group by 1, 2",
+    "stm03_session_memory": f"with {_E}, n as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) back, count(*) over (partition by user_id) n, max(ts) over (partition by user_id) last from e) select user_id, string_agg(event_id::varchar, ',' order by event_id) kept, case when n > 10 then n - 5 else 0 end n_summarised from n where (n <= 10 or back <= 5) and ts >= last - interval 30 day group by user_id, n",
 }
 QUERIES = {n: globals()[n] for n in SQL}
