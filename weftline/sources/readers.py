@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -43,14 +43,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def markdown_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_col, section_no, level, heading, text: a section a heading; what precedes the first heading is left out.
     Null and empty texts have no section."""
-    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    head = F.col("line").rlike(r"^#{1,6}\s+\S")
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("section_no", F.sum(head.cast("int")).over(w)).filter("section_no > 0")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
-    s = numbered.groupBy(id_col, "section_no").agg(ordered.alias("ls"))
-    first = F.element_at("ls", 1)
-    return s.select(id_col, "section_no", F.length(F.regexp_extract(first, "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace(first, r"^#+\s+", "")).alias("heading"), F.trim(F.array_join(F.slice("ls", F.lit(2), F.size("ls")), "\n")).alias("text"))
+    head = r"#{1,6}[^\S\n]+\S"
+    parts = F.filter(F.split(text_col, rf"(?md)^(?={head})"), lambda x: x.rlike(f"^{head}"))
+    s = docs.select(id_col, F.size(parts).alias("n"), F.posexplode(parts).alias("pos", "part"))
+    first = F.regexp_extract("part", r"^([^\n]*)", 1)
+    rest = F.when(F.contains("part", F.lit("\n")), F.regexp_replace("part", r"^[^\n]*\n", "")).otherwise("")
+    rest = F.when(F.col("pos") < F.col("n") - 1, F.regexp_replace(rest, r"\n\z", "")).otherwise(rest)  # the line end before the next heading
+    return s.select(id_col, (F.col("pos") + 1).cast("long").alias("section_no"), F.length(F.regexp_extract(first, "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace(first, r"^#+\s+", "")).alias("heading"), F.trim(rest).alias("text"))
 
 
 class _Sections(HTMLParser):
