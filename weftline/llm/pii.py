@@ -507,7 +507,7 @@ def marginals(segs: list[tuple[int, int, float]]) -> tuple[float, list[float]]:
     return z, [math.exp(alpha[at[a]] + s + beta[at[b]] - z) for a, b, s in segs]
 
 
-def train(lines: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = ROUNDS, words: Lexicon = Lexicon()) -> Weights:
+def train(lines: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = ROUNDS, words: Lexicon | None = None) -> Weights:
     """Weights of greatest likelihood of the labelled lines (text, gold segments), by adaptive gradient steps with a
     small penalty, averaged over the later rounds. A gold segment that no pattern proposes cannot be learned and is left out."""
     weights: Weights = {k: {} for k in TYPES}
@@ -543,11 +543,11 @@ OTHER_GIVEN = "alice kevin susan jennifer kwame ngozi brian karen steven patrici
 OTHER_FAMILY = "johnson smith miller brown taylor wilson davies o'brien murphy mcdonald okafor mensah adeyemi patel sharma nguyen tran kowalski novak horvat rossi bianchi silva santos garcia lopez fernandez schmidt weber fischer dupont moreau lefebvre tanaka suzuki kim park ivanov petrov haddad rahman".split()
 
 
-def training_lines(n: int = TRAIN_LINES, seed: int = 5, words: Lexicon = Lexicon()) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def training_lines(n: int = TRAIN_LINES, seed: int = 5, words: Lexicon | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Labelled lines from templates: carriers of personal information in four languages, and lines whose numbers,
     titles, firms, works, places and handles are none. The templates are written for this purpose; four names of ten are
     not in the list of given names."""
-    r = random.Random(seed)
+    r, words = random.Random(seed), words or Lexicon()
     pick_ = r.choice
     digits = lambda k: "".join(pick_("0123456789") for _ in range(k))
     upper = lambda k: "".join(pick_("ABCDEFGHKLMNPQRSTUVWXYZ") for _ in range(k))
