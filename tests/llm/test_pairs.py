@@ -101,3 +101,9 @@ def test_held_out_refusals():
 def test_a_refusal_counts_wherever_it_stands():
     polite = "Hello and thank you. You asked about this. I understand. I am sorry. We know it is important to you. Thanks again. "
     assert P.refusal_score(polite * 5 + "I cannot answer this.") >= P.REFUSAL_SHARE
+
+
+def test_no_held_out_refusal_lacks_a_cue(spark):
+    rows = [x for x in HELD_OUT_REFUSALS if P.refusal_score(x) >= P.REFUSAL_SHARE] + ["I can't help with that request.", "I can’t help with that request."]
+    df = spark.createDataFrame([(x,) for x in rows], "t string")
+    assert df.filter(~F.col("t").rlike(P.CUES)).count() == 0

@@ -264,7 +264,7 @@ def is_truncated(answer: Column) -> Column:
 
 
 #: Without one of these words no template can be filled.
-CUES = r"(?i)(?<!\p{L})(?:" + "|".join(sorted({re.escape(w).replace(r"\*", r"\p{L}*") for k in ("NEG", "CANNOT", "HARD", "BEYOND", "KEEP", "LACK", "ELSE", "IRRESPONSIBLE") for w in SLOTS[k].replace("'", "['’]").split()})) + r")(?!\p{L})"
+CUES = r"(?i)(?<!\p{L})(?:" + "|".join(sorted({re.escape(w).replace(r"\*", r"\p{L}*").replace("'", "['’]") for k in ("NEG", "CANNOT", "HARD", "BEYOND", "KEEP", "LACK", "ELSE", "IRRESPONSIBLE") for w in SLOTS[k].split()})) + r")(?!\p{L})"
 
 
 def pair_defects(pairs: DataFrame) -> DataFrame:
