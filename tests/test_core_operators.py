@@ -109,6 +109,8 @@ def test_cosine_and_topk_in_blocks(spark, monkeypatch):
     monkeypatch.undo()
     assert all(r["qid"] != r["id"] for r in dense_topk(q, df, 1, other=True).collect())
     assert a == sorted(tuple(r) for r in dense_topk(q, df, 3).select("qid", "id", "rank").collect()) and len(a) == 120
+    many = q.withColumn("qid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat("qid", F.lit("-"), i.cast("string")))))
+    assert dense_topk(many, df, 3).count() == 2400  # more queries than are multiplied at once
     assert dense_topk(q.limit(0), df, 3).count() == 0 and dense_topk(q, df.limit(0), 3).count() == 0
 
 

@@ -60,6 +60,11 @@ def in_blocks(queries: DataFrame, rows: DataFrame, qid: str, rid: str) -> tuple[
     return q, r
 
 
+def found_frame(qid, rid, score, name: str) -> pd.DataFrame:
+    """Ids as plain objects: string columns of pandas may come in several chunks, which Arrow structs refuse."""
+    return pd.DataFrame({"qid": pd.Series(qid, dtype=object), "id": pd.Series(rid, dtype=object), name: pd.Series(score, dtype="float64")})
+
+
 def dense_topk(queries: DataFrame, rows: DataFrame, k: int, other: bool = False) -> DataFrame:
     """qid, id, sim, rank: exact cosine top-k of every query by (sim rounded to 6 places, id); with `other` without the
     row whose id is the query's. queries: qid, vec; rows: id, vec, all usable. Blocks of queries and buckets of rows meet in
@@ -67,7 +72,7 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, other: bool = False)
 
     def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
-            return pd.DataFrame({"qid": [], "id": [], "sim": []})
+            return found_frame([], [], [], "sim")
         r = r.sort_values("id", ignore_index=True)
         unit = lambda c: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.stack(c.to_numpy()).astype(np.float64))
         x, ids, out = unit(r["vec"]), r["id"].to_numpy(), []
@@ -77,8 +82,8 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, other: bool = False)
             if other:
                 sim[part["qid"].to_numpy()[:, None] == ids[None, :]] = -9
             at, best = best_columns(sim, k)
-            out.append(pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), at.shape[1]), "id": ids[at.ravel()], "sim": best.ravel()}))
-        return pd.concat(out)
+            out.append((np.repeat(part["qid"].to_numpy(), at.shape[1]), ids[at.ravel()], best.ravel()))
+        return found_frame(*map(np.concatenate, zip(*out)), "sim")
 
     q, r = in_blocks(queries.select("qid", "vec"), rows.select("id", "vec"), "qid", "id")
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, sim double"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from weftline.functions.vectors import best_columns, cosine, dense_topk, finite, in_blocks
+from weftline.functions.vectors import best_columns, cosine, dense_topk, finite, found_frame, in_blocks
 from weftline.session import cut_table, pick, table
 
 K1, B = 1.2, 0.75
@@ -101,7 +101,7 @@ def bm25(queries: DataFrame, docs: DataFrame, id_col: str, fields: dict[str, flo
 
     def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
-            return pd.DataFrame({"qid": [], "id": [], "score": []})
+            return found_frame([], [], [], "score")
         r = r.sort_values("id", ignore_index=True)
         best = np.zeros((len(q), len(r)))
         for f in names:
@@ -126,8 +126,8 @@ def bm25(queries: DataFrame, docs: DataFrame, id_col: str, fields: dict[str, flo
                 own[np.ix_(who, at)] += idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at] / avgdl))
             best = np.maximum(best, fields[f] * own)
         at, top = best_columns(np.round(best, 6), k)
-        out = pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), at.shape[1]), "id": r["id"].to_numpy()[at.ravel()], "score": top.ravel()})
-        return out[out["score"] > 0]
+        hit = top.ravel() > 0
+        return found_frame(np.repeat(q["qid"].to_numpy(), at.shape[1])[hit], r["id"].to_numpy()[at.ravel()][hit], top.ravel()[hit], "score")
 
     q, r = in_blocks(per_query, rows, "qid", "id")
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
