@@ -176,6 +176,27 @@ def test_levels_parents_and_inner_weight(spark):
     assert G.label_communities(e.limit(0)).count() == 0
 
 
+def test_a_round_of_communities_is_few_jobs(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = {(min(a, b), max(a, b)): float(rnd.randint(1, 4)) for a, b in ((f"n{rnd.randint(0, 9)}", f"n{rnd.randint(0, 99)}") for _ in range(250)) if a != b}
+    e = G.cut_table(spark.createDataFrame([(*k, w) for k, w in rows.items()], "u string, v string, weight double"))
+
+    def run(name):
+        spark.sparkContext.setJobGroup(name, name)
+        got = {r["entity_id"]: r["community"] for r in G.label_communities(e).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return got, jobs
+
+    rounds = []
+    whole = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: rounds.append(1) or whole(df))
+    got, jobs = run("communities")
+    assert set(got) == {x for k in rows for x in k} and jobs <= 45 + 4 * len(rounds)
+    monkeypatch.setattr(G, "HUB_ROWS", 0)  # every vertex of more than a thousandth of the edges hears by broadcast
+    assert run("hubs")[0] == got
+
+
 def test_cut_tables_are_cleared(spark):
     from pathlib import Path
 

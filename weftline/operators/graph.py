@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import noise_class
 from weftline.operators.text_queries import NOISE_SQL
 from weftline.operators.components import connected_components
-from weftline.operators.skew import hub_join
-from weftline.session import cut, cut_table, pick, table
+from weftline.operators.skew import HEAVY_PART, heavy_split_join, hub_join
+from weftline.session import cut, cut_table, pick, plain_plans, table
 
 
 def entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,41 +204,105 @@ def both_ways(e: DataFrame) -> DataFrame:
     return e.select("u", "v", "weight").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
 
 
-def label_communities(e: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """entity_id, community: weighted label propagation until no vertex wants to move. A vertex wants the label of
-    greatest weight among its neighbours (the smallest of equal ones) if it outweighs its present one's; in each round
-    the half of the vertices moves whose hash agrees with the round, so that neighbours do not swap for ever.
-    Sums by label are gathered on the map side, so a hub costs no more than its different labels."""
-    both = cut_table(both_ways(e))
-    labels = cut(both.select(F.col("u").alias("entity_id")).distinct().withColumn("community", F.col("entity_id")))
+#: A vertex with more neighbours than this, and more than a thousandth of all edges, hears by broadcast.
+HUB_ROWS = 100_000
+
+
+def numbered(e: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The vertices (id, entity_id, turns) and the edges both ways between their ids. Ids are in the order of the names.
+    Bit i of turns is the half of the vertices in which this one is in rounds 2 i and 2 i + 1."""
+    if max_rounds > 126:
+        raise ValueError("turns has 63 bits")
+    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = e.select(F.explode(F.array("u", "v")).alias("entity_id")).filter("entity_id is not null").distinct()
+    bits = reduce(lambda a, i: a.bitwiseOR(F.shiftleft(F.pmod(F.xxhash64("entity_id", F.lit(i)), F.lit(2)), i)), range((max_rounds + 1) // 2), F.lit(0).cast("long"))
+    ids = cut_table(names.repartitionByRange(parts, "entity_id").sortWithinPartitions("entity_id").select(F.monotonically_increasing_id().alias("id"), "entity_id", bits.alias("turns")))
+    side = lambda end: ids.select(F.col("entity_id").alias(end), F.col("id").alias("i" + end))
+    ends = hub_join(cut_table(hub_join(e.select("u", "v", "weight"), side("u"), "u")), side("v"), "v")
+    return ids, cut_table(ends.select(F.col("iu").alias("u"), F.col("iv").alias("v"), "weight"))
+
+
+def named(labels: DataFrame, ids: DataFrame) -> DataFrame:
+    """Names in place of the ids in entity_id and community."""
+    labels = hub_join(labels, ids.select(F.col("id").alias("community"), F.col("entity_id").alias("label")), "community")
+    return labels.drop("community").withColumnRenamed("entity_id", "id").join(ids.select("id", "entity_id"), "id").drop("id").withColumnRenamed("label", "community")
+
+
+class Neighbours:
+    """The edges of a numbered graph both ways, laid out once by the vertex that speaks, so that a round of labels joins
+    them where they lie. Edges of hubs stay spread, the labels of hubs (fewer than HEAVY_PART) are broadcast."""
+
+    def __init__(self, e: DataFrame) -> None:
+        both = both_ways(e)
+        sizes = both.groupBy("v").agg(F.count(F.lit(1)).alias("n_rows"))
+        hubs = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n_rows").alias("total")))).filter((F.col("n_rows") > HUB_ROWS) & (F.col("n_rows") * HEAVY_PART > F.col("total"))).select("v")
+        self.hubs = cut(hubs)
+        self.hot = None if self.hubs.isEmpty() else cut_table(both.join(F.broadcast(self.hubs), "v", "left_semi"))
+        rest = both if self.hot is None else both.join(F.broadcast(self.hubs), "v", "left_anti")
+        self.parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.edges = cut(rest.repartition(self.parts, "v").sortWithinPartitions("v"))
+        self.vertices = both.select("v").distinct().repartition(self.parts, "v")
+
+    def hear(self, labels: DataFrame) -> DataFrame:
+        """u, community, weight: what each vertex hears from its neighbours. labels: v, community."""
+        heard = self.edges.join(labels.hint("merge"), "v").select("u", "community", "weight")
+        if self.hot is None:
+            return heard
+        own = labels.join(F.broadcast(self.hubs), "v", "left_semi")
+        return heard.unionByName(self.hot.join(F.broadcast(own), "v").select("u", "community", "weight"))
+
+
+def propagate(near: Neighbours, ids: DataFrame, max_rounds: int) -> DataFrame:
+    """v, community: labels of the vertices of `near` when no vertex wants to move any more (label_communities)."""
+    labels = cut(near.vertices.join(ids.select(F.col("id").alias("v"), "turns").hint("merge"), "v").select("v", F.col("v").alias("community"), "turns"))
     for r in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("entity_id", "v"), "v").groupBy("u", "community").agg(F.round(F.sum("weight"), 6).alias("w"))
-        seen = near.join(labels.select(F.col("entity_id").alias("u"), F.col("community").alias("own")), "u")
-        best = seen.groupBy("u", "own").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b"), F.coalesce(F.max(F.when(F.col("community") == F.col("own"), F.col("w"))), F.lit(0.0)).alias("stay"))
+        heard = near.hear(labels.select("v", "community")).select("u", "community", "weight", F.lit(0).alias("own"), F.lit(0).cast("long").alias("turns"))
+        every = heard.unionByName(labels.select(F.col("v").alias("u"), "community", F.lit(None).cast("double").alias("weight"), F.lit(1).alias("own"), "turns"))
+        sums = every.groupBy("u", "community").agg(F.round(F.sum("weight"), 6).alias("w"), F.max("own").alias("own"), F.max("turns").alias("turns"))
+        best = sums.groupBy("u").agg(F.min(F.when(F.col("w").isNotNull(), F.struct((-F.col("w")).alias("w"), "community"))).alias("b"), F.max(F.when(F.col("own") == 1, F.col("community"))).alias("own"), F.coalesce(F.max(F.when(F.col("own") == 1, F.col("w"))), F.lit(0.0)).alias("stay"), F.max("turns").alias("turns"))
         wants = (-F.col("b.w")) > F.col("stay")
-        turn = F.pmod(F.xxhash64("u", F.lit(r // 2)), F.lit(2)) == r % 2
-        moved = cut(best.select(F.col("u").alias("entity_id"), F.when(wants & turn, F.col("b.community")).otherwise(F.col("own")).alias("community"), wants.alias("wants")))
+        turn = F.shiftright("turns", r // 2).bitwiseAND(F.lit(1)) == r % 2
+        moved = cut(best.select(F.col("u").alias("v"), F.when(wants & turn, F.col("b.community")).otherwise(F.col("own")).alias("community"), "turns", wants.alias("wants")))
         labels = moved.drop("wants")
         if moved.filter("wants").isEmpty():
-            return labels
+            return labels.drop("turns")
     raise RuntimeError(f"communities did not settle in {max_rounds} rounds")
 
 
-def community_levels(e: DataFrame, levels: int = 3) -> DataFrame:
+def label_communities(e: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """entity_id, community: weighted label propagation until no vertex wants to move. A vertex wants the label of
+    greatest weight among its neighbours (the smallest of equal ones) if it outweighs its present one's; in each round
+    the half of the vertices moves whose hash agrees with the round, so that neighbours do not swap for ever.
+    Sums by label are gathered on the map side, so a hub costs no more than its different labels. A round is one plan
+    of numbers with two exchanges, and is not planned again while it runs: the driver keeps little of each."""
+    ids, e = numbered(e, max_rounds)
+    with plain_plans(e.sparkSession):
+        labels = propagate(Neighbours(e), ids, max_rounds)
+    return cut_table(named(labels.withColumnRenamed("v", "entity_id"), ids))
+
+
+def community_levels(e: DataFrame, levels: int = 3, max_rounds: int = 100) -> DataFrame:
     """level, entity_id, community: the communities of the graph, then those of the graph between them, and so on. A
     community is named by its level and its label; one without an edge to another stays as it is."""
-    step = members = label_communities(e)
-    out = None
-    for level in range(levels):
-        if level:
-            side = lambda end: step.select(F.col("entity_id").alias(end), F.col("community").alias("c" + end))  # noqa: B023, E731
-            ends = hub_join(cut_table(hub_join(e, side("u"), "u")), side("v"), "v").filter("cu <> cv")
-            e = cut_table(ends.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.round(F.sum("weight"), 6).alias("weight")))
-            step = label_communities(e)
-            members = cut_table(members.join(step.select(F.col("entity_id").alias("community"), F.col("community").alias("next")), "community", "left").select("entity_id", F.coalesce("next", "community").alias("community")))
-        rows = members.select(F.lit(level).alias("level"), "entity_id", F.concat(F.lit(f"L{level}_"), "community").alias("community"))
-        out = rows if out is None else out.unionByName(rows)
-    return cut_table(out)
+    ids, e = numbered(e, max_rounds)
+    out = members = None
+    with plain_plans(e.sparkSession):
+        for level in range(levels):
+            near = Neighbours(e)
+            step = propagate(near, ids, max_rounds)
+            if members is None:
+                members = step.withColumnRenamed("v", "entity_id")
+            else:
+                above = step.select(F.col("v").alias("community"), F.col("community").alias("next"))
+                members = cut_table(heavy_split_join(members, above, ["community"], members.groupBy("community").agg(F.count(F.lit(1)).alias("n_rows")), how="left").select("entity_id", F.coalesce("next", "community").alias("community")))
+            rows = members.select(F.lit(level).alias("level"), "entity_id", "community")
+            out = rows if out is None else out.unionByName(rows)
+            if level + 1 < levels:
+                heard = near.hear(step).groupBy("u", F.col("community").alias("cv")).agg(F.sum("weight").alias("weight"))
+                ends = heard.join(step.select(F.col("v").alias("u"), F.col("community").alias("cu")).hint("merge"), "u").filter("cu < cv")
+                e = cut_table(ends.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.round(F.sum("weight"), 6).alias("weight")))
+    out = named(cut_table(out), ids)
+    return cut_table(out.select("level", "entity_id", F.concat(F.lit("L"), F.col("level").cast("string"), F.lit("_"), "community").alias("community")))
 
 
 def community_table(levels: DataFrame, e: DataFrame, least: int = 3) -> DataFrame:
