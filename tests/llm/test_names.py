@@ -99,6 +99,16 @@ def test_a_block_of_many_names_is_split_without_losing_variants(spark, monkeypat
     assert small.groupBy("type", "block").count().agg(F.max("count")).first()[0] <= 20
 
 
+def test_a_pair_with_one_code_in_common_meets_in_blocks_of_any_size(spark, monkeypatch):
+    words = [a + b for a in ("Dobu", "Kira", "Melo", "Sute") for b in ("nar", "gil", "pom", "tesk", "rald")]
+    rows = [("x", "Apollo Bifo Gama"), ("y", "Apollo Bi Fogama"), *((f"o{i}", f"Apollo {w} {words[-1 - i]}") for i, w in enumerate(words[:10]))]
+    rows = [(k, "Organization", n, None) for k, n in rows]
+    whole = clusters(spark, rows)
+    monkeypatch.setattr(N, "BLOCK", 4)
+    split = clusters(spark, rows)
+    assert whole["x"] == whole["y"] and split == whole
+
+
 def test_initials_are_told_apart_by_the_whole_given_name(spark):
     rows = [("1", "Maria Vasil"), ("2", "Margaret Vasil"), ("3", "M. Vasil"), ("4", "Martin Dobrun"), ("5", "M. Dobrun")]
     c = {r["entity_id"]: r["cluster"] for r in N.entity_clusters(spark.createDataFrame([(i, "Person", n, None) for i, n in rows], "entity_id string, type string, name string, canonical_key string")).collect()}
